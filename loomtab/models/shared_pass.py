@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Generator, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtab.models.arrays import block_columns, partition_totals, summed
+from loomtab.models.arrays import block_columns, summed
 from loomtab.models.losses import Linear, Network
 
 Family = Linear | Network
@@ -42,6 +42,10 @@ class Problem:
     value: float = np.inf
     passes: int = 0
 
+    def bare(self) -> Problem:
+        """The part of the problem a task needs."""
+        return replace(self, theta=None)
+
     def rows(self, block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Targets and weights of a block as this problem sees them."""
         y = block["y"].astype(float)
@@ -160,9 +164,7 @@ def _evaluate(
     table: DataFrame, problems: Sequence[Problem], points: Sequence[np.ndarray], partitions: int
 ) -> list[tuple[float, float, np.ndarray]]:
     """(weight sum, loss sum, gradient sum) of every problem at its point, in one pass."""
-    bare = [
-        Problem(p.family, holdout=p.holdout, class_weight=p.class_weight, positive=p.positive) for p in problems
-    ]
+    bare = [p.bare() for p in problems]
     sizes = [p.family.size for p in problems]
 
     def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -233,7 +235,7 @@ def descend(table: DataFrame, problem: Problem, how: Descent, watch=None) -> np.
 def _epoch(
     table: DataFrame, problem: Problem, how: Descent, theta: np.ndarray, velocity: np.ndarray, eta: float
 ) -> tuple[np.ndarray, np.ndarray, float]:
-    bare = Problem(problem.family, l2=problem.l2, holdout=problem.holdout, class_weight=problem.class_weight, positive=problem.positive)
+    bare = problem.bare()
     size = problem.family.size
 
     def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -259,5 +261,3 @@ def _epoch(
     rows = max(flat[0], 1e-300)
     return flat[2 : 2 + size] / rows, flat[2 + size :] / rows, flat[1] / rows
 
-
-__all__ = ["Descent", "Problem", "descend", "fit_all", "gradient_at", "partition_totals", "training_table"]

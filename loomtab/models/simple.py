@@ -128,10 +128,6 @@ class NearestCentroid(TableEstimator, _Metric):
         rows = class_moments(df, self._get("featuresCol"), self._get("labelCol"))
         return {"centroids": [{"class": r["class"], "mean": r["mean"]} for r in rows]}
 
-    def _fit(self, df: DataFrame) -> CentroidModel:
-        model = super()._fit(df)
-        return model._set(metric=self._get("metric"))
-
 
 class ScoreModel(TableModel):
     """Adds per-class scores, softmax probabilities and the class with the largest score."""

@@ -117,6 +117,22 @@ def summary_from(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def binary_from(cells: DataFrame, positive: object, by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall and F1 of the positive class of a two-class problem."""
+    cells = cells.withColumn("_y", F.col("y") == F.lit(positive)).withColumn("_p", F.col("p") == F.lit(positive))
+    n = F.col("n")
+
+    def count(keep: Column) -> Column:
+        return F.sum(F.when(keep, n).otherwise(0))
+
+    hit, claimed, real = count(F.col("_y") & F.col("_p")), count(F.col("_p")), count(F.col("_y"))
+    return cells.groupBy(*by).agg(
+        _ratio(hit, claimed).alias("precision"),
+        _ratio(hit, real).alias("recall"),
+        _ratio(2 * hit, claimed + real).alias("f1"),
+    )
+
+
 def accuracy(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
     hit = (F.col(truth) == F.col(prediction)).cast("double")
     return df.groupBy(*by).agg(F.avg(hit).alias("accuracy"))
