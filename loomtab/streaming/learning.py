@@ -17,7 +17,7 @@ WEIGHTS = "batch bigint, rows bigint, state string"
 
 def stored_weights(spark: SparkSession, folder: str) -> DataFrame:
     """(batch, rows, state): the model after each micro-batch."""
-    return spark.read.schema(WEIGHTS).parquet(f"{folder}/batch=*")
+    return spark.read.schema(WEIGHTS).parquet(f"{folder}/step-*")
 
 
 def model_before(spark: SparkSession, folder: str, batch: int) -> MlpModel | None:
@@ -46,7 +46,7 @@ def learn_stream(stream: DataFrame, estimator: Any, folder: str, state: str, cla
             known = sorted(set(classes)) if classes is not None else None
             after = partial_fit(before, estimator, batch, known) if rows else before
             row = (number, rows, json.dumps(after.fitted))
-            spark.createDataFrame([row], WEIGHTS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            spark.createDataFrame([row], WEIGHTS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/step-{number}")
         finally:
             batch.unpersist()
 
