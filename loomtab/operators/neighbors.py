@@ -13,7 +13,7 @@ using MapReduce", PVLDB 2012.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -443,6 +443,43 @@ def vote(neighbors: Column, k: Column | int, classes: list[float], weights: str
     return F.when(F.size(nearby) > 0, F.array_max(F.transform(known, tally))["class"])
 
 
+def votes_at(neighbors: Column, ks: Sequence[int], classes: list[float], weights: str = "uniform") -> Column:
+    """Winning class position for every k at once, from running vote totals over Arrow batches.
+
+    Same rule as ``vote``; worth it when many values of k share one ranked list.
+    """
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"unknown weights {weights!r}")
+    known, columns = sorted(classes), np.array(ks) - 1
+    depth = int(columns.max()) + 1
+
+    @F.arrow_udf("array<int>")
+    def count(lists: pa.Array) -> pa.Array:
+        sizes = np.minimum(np.diff(lists.offsets.to_numpy()), depth)
+        items = lists.flatten()
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+        row = np.repeat(np.arange(len(lists)), sizes)
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        label = np.full((len(lists), depth), np.nan)
+        far = np.full((len(lists), depth), np.inf)
+        label[row, at] = items.field("value").to_numpy(zero_copy_only=False)[starts[row] + at]
+        far[row, at] = items.field("distance").to_numpy(zero_copy_only=False)[starts[row] + at]
+        if weights == "uniform":
+            share = np.ones_like(far)
+        else:
+            share = np.where(far[:, :1] == 0, far == 0, np.divide(1.0, far, out=np.zeros_like(far), where=far > 0))
+        most = np.zeros((len(lists), len(columns)))
+        winner = np.zeros((len(lists), len(columns)), "int32")
+        for i, c in enumerate(known):
+            total = np.round(np.cumsum(share * (label == c), axis=1)[:, columns], DIGITS)
+            better = total > most
+            most[better], winner[better] = total[better], i
+        ends = np.arange(len(lists) + 1, dtype="int32") * len(columns)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(winner.ravel()))
+
+    return count(neighbors)
+
+
 def neighbor_mean(neighbors: Column, k: Column | int, weights: str = "uniform") -> Column:
     """Plain or inverse-distance weighted mean of the first k neighbours' values."""
     count = F.lit(k) if isinstance(k, int) else k
