@@ -1 +1,370 @@
+"""Queries over trained models: searches, networks, margins, trees, ensembles, leaderboards, forecasts.
 
+The data have known structure (generators over table keys), because the plain tables carry
+no signal. Iterative trainers have no SQL form; unit tests check their properties.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomtab.catalog.closed_form import mixture_rows, moons_rows
+from loomtab.catalog.common import daily_revenue, query
+from loomtab.models.linear import (
+    LinearScore, Perceptron, kernel_map, linear_svc, logistic_regression, polynomial_features, reduced_pipeline, weighted,
+)
+from loomtab.models.mlp import MlpClassifier, MlpRegressor, small_network, softmax_network
+from loomtab.models.neighbors import Neighbors
+from loomtab.models.simple import GaussianBayes, LinearDiscriminant, MajorityClass, QuadraticDiscriminant
+from loomtab.models.trees import (
+    adaboost_classifier, adaboost_regressor, bagging_regressor, boosted_quantiles, decision_tree, extra_trees, gradient_boosting,
+    random_forest,
+)
+from loomtab.operators import metrics
+from loomtab.operators.prepare import as_vector
+from loomtab.operators.splits import split, stratified_kfold
+from loomtab.plans.evaluators import TableEvaluator
+from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features
+from loomtab.plans.grids import grid_table, logistic_grid, param_list, random_table
+from loomtab.plans.leaderboard import Entry, leaderboard
+from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, ranked, results_table, shared_search
+from loomtab.session import scratch_path
+from loomtab.sources import generators
+from loomtab.sources.registry import load_models, save_model, score_all
+from loomtab.sources.sinks import arrange_results
+
+
+def _moons(spark: SparkSession, folder: str) -> DataFrame:
+    """Noisy moons with a split and stratified folds."""
+    rows = generators.with_features(moons_rows(spark, folder))
+    return stratified_kfold(split(rows, "key"), "key", "y").select("key", "features", "y", "split", "fold")
+
+
+def _three(spark: SparkSession, folder: str) -> DataFrame:
+    rows = generators.with_features(mixture_rows(spark, folder))
+    return stratified_kfold(split(rows, "key"), "key", "y").select("key", "features", "y", "split", "fold")
+
+
+def _curve(spark: SparkSession, folder: str) -> DataFrame:
+    """Regression on the moons: the second coordinate from the first and the class."""
+    rows = moons_rows(spark, folder)
+    return split(generators.with_features(rows, ("x1", "y")), "key").select("key", "features", F.col("x2").alias("target"), "split")
+
+
+def _train(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("split") == "train")
+
+
+def _test(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("split") == "test")
+
+
+def _scored(model, rows: DataFrame, label: str = "y") -> DataFrame:
+    return model.transform(_test(rows)).select("key", label, "prediction")
+
+
+def _summary(scores: DataFrame) -> DataFrame:
+    return ranked(scores, 3).select("objective", "candidate", "mean", "std", "rank")
+
+
+@query()
+def logistic_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Twelve logistic candidates by five folds, trained in shared passes, scored for four objectives."""
+    candidates = param_list(grid_table(spark, "logistic", logistic_grid()))
+    scores = shared_search(_train(_moons(spark, folder)), candidates, "y", objectives=["accuracy", "log_loss", "recall", "roc_auc"])
+    return _summary(scores)
+
+
+@query()
+def logistic_random_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Random candidates drawn from the priors instead of a grid."""
+    priors = {
+        "C": lambda u: generators.power_beta(u, 0.85, 1, 1000),
+        "penalty": lambda u: generators.one_of(u, ["l1", "l2"]),
+    }
+    candidates = param_list(random_table(spark, "logistic", priors, 50))
+    return _summary(shared_search(_train(_three(spark, folder)), candidates, "y", objectives=["accuracy"]))
+
+
+@query()
+def margin_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Linear and polynomial margins over C, three classes one-versus-rest."""
+    rows = _train(_three(spark, folder))
+    candidates = param_list(grid_table(spark, "margin", [{"C": [1.0, 10.0, 100.0]}]))
+    parts = []
+    for degree in (1, 2, 3):
+        mapped = polynomial_features(rows, degree) if degree > 1 else rows
+        scores = shared_search(mapped, candidates, "y", objectives=["accuracy", "f1"])
+        parts.append(_summary(scores).withColumn("degree", F.lit(degree)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query()
+def network_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Hidden sizes by penalties, five folds, trained together."""
+    grid = [{"n_hidden": [2, 8], "alpha": [1e-5, 1e-1]}]
+    candidates = param_list(grid_table(spark, "network", grid))
+    scores = shared_search(_train(_moons(spark, folder)), candidates, "y", objectives=["accuracy", "log_loss"], max_iter=40)
+    return _summary(scores)
+
+
+@query()
+def search_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Results table: best candidate per objective, refitted and scored on the hold-out rows."""
+    rows = _moons(spark, folder).persist()
+    candidates = param_list(grid_table(spark, "logistic", [{"C": [1.0, 10.0], "penalty": ["l1", "l2"]}]))
+    scores = shared_search(_train(rows), candidates, "y", objectives=["accuracy", "log_loss"])
+    table = results_table(_train(rows), _test(rows), candidates, scores, "y", "GridSearch")
+    rows.unpersist()
+    return arrange_results(table)
+
+
+@query()
+def logistic_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """MLlib cross-validation over the stratified folds with our evaluator, best model on the hold-out rows."""
+    rows = as_vector(_moons(spark, folder)).persist()
+    estimator = LogisticRegression(featuresCol="vector", labelCol="y", probabilityCol="p", rawPredictionCol="raw")
+    maps = ParamGridBuilder().addGrid(estimator.regParam, [0.001, 0.01, 0.1]).build()
+    model = cross_validate(estimator, maps, TableEvaluator(metric="f1"), _train(rows), parallelism=4)
+    return model.bestModel.transform(_test(rows)).select("key", "y", "prediction")
+
+
+@query()
+def logistic_one_vs_rest(spark: SparkSession, folder: str) -> DataFrame:
+    """MLlib logistic regression, one class against the rest, balanced class weights."""
+    rows = weighted(as_vector(_three(spark, folder)), "y")
+    train = _train(rows)
+    estimator = logistic_regression(train.count(), 10.0, "l2", "ovr", featuresCol="vector", labelCol="y", weightCol="weight")
+    return _scored(estimator.fit(train), rows)
+
+
+@query()
+def fold_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row predicted without its own fold; one row of metrics per fold."""
+    rows = _moons(spark, folder).persist()
+    predicted = fold_predictions(GaussianBayes(), rows)
+    scores = fold_scores(predicted, "y").select("fold", "accuracy", "precision", "recall", "f1")
+    return scores
+
+
+@query()
+def mlp_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """One-hidden-layer perceptron, full-batch quasi-Newton."""
+    rows = _moons(spark, folder)
+    model = MlpClassifier(nHidden=8, maxIter=40).fit(_train(rows))
+    return model.transform(_test(rows)).select("key", "y", "prediction", F.col("probability")[1].alias("p1"))
+
+
+@query()
+def mlp_warm_start(spark: SparkSession, folder: str) -> DataFrame:
+    """Training continued from an earlier model's weights."""
+    rows = _moons(spark, folder).persist()
+    first = MlpClassifier(nHidden=6, maxIter=5).fit(_train(rows))
+    return _scored(MlpClassifier(warm=first, nHidden=6, maxIter=15).fit(_train(rows)), rows)
+
+
+@query()
+def mlp_sgd(spark: SparkSession, folder: str) -> DataFrame:
+    """Mini-batch descent of the softmax network on three classes."""
+    rows = _three(spark, folder)
+    return _scored(softmax_network(nHidden=20).fit(_train(rows)), rows)
+
+
+@query()
+def network_error_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Five hidden units, twenty epochs: percent error on both sides after each epoch."""
+    rows = _three(spark, folder).persist()
+    trace: list[tuple[int, list[float]]] = []
+    estimator = small_network(batchSize=20, eta0=0.3)
+    estimator.watch = lambda epoch, theta, cost: trace.append((epoch, theta.tolist()))
+    model = estimator.fit(_train(rows))
+    state = model.fitted
+    net = spark.createDataFrame(trace, "epoch int, theta array<double>")
+    width, hidden, outputs = state["features"], state["hidden"], state["outputs"]
+    cut = (width + 1) * hidden
+    scored = rows.join(F.broadcast(net))  # one row per epoch, twenty at most
+    theta, x = F.col("theta"), F.col("features")
+
+    def unit(at: int, inputs: int, size: int, j: int, values) -> F.Column:
+        total = theta[at + inputs * size + j]
+        for i in range(inputs):
+            total = total + values[i] * theta[at + i * size + j]
+        return total
+
+    layer = scored.withColumn("h", F.array(*[1.0 / (1.0 + F.exp(-unit(0, width, hidden, j, x))) for j in range(hidden)]))
+    final = layer.withColumn("z", F.array(*[unit(cut, hidden, outputs, j, F.col("h")) for j in range(outputs)]))
+    wrong = final.withColumn("p", F.array_position("z", F.array_max("z")) - 1)
+    return metrics.percent_error(wrong, "y", "p", ["epoch", "split"])
+
+
+@query()
+def mlp_regress(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _curve(spark, folder)
+    return _scored(MlpRegressor(labelCol="target", nHidden=8, maxIter=40).fit(_train(rows)), rows, "target")
+
+
+@query()
+def perceptron(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _three(spark, folder)
+    return _scored(Perceptron(penalty="l2").fit(_train(rows)), rows)
+
+
+@query()
+def linear_svm(spark: SparkSession, folder: str) -> DataFrame:
+    """MLlib linear support-vector classifier."""
+    rows = as_vector(_moons(spark, folder))
+    train = _train(rows)
+    return _scored(linear_svc(train.count(), 1.0, featuresCol="vector", labelCol="y").fit(train), rows)
+
+
+@query()
+def kernel_svm(spark: SparkSession, folder: str) -> DataFrame:
+    """Margin on random Fourier features of the rbf kernel, with probabilities fitted to the margin."""
+    rows = kernel_map(_moons(spark, folder), "rbf", gamma=2.0, components=64)
+    model = LinearScore(loss="squared_hinge", calibrate=True, balanced=True).fit(_train(rows))
+    return model.transform(_test(rows)).select("key", "y", "prediction", F.col("probability")[1].alias("p1"))
+
+
+@query()
+def svr(spark: SparkSession, folder: str) -> DataFrame:
+    """Support-vector regression on polynomial features."""
+    rows = polynomial_features(_curve(spark, folder), 3)
+    return _scored(LinearScore(labelCol="target", loss="tube", C=10.0).fit(_train(rows)), rows, "target")
+
+
+@query()
+def tree_classify(spark: SparkSession, folder: str) -> DataFrame:
+    rows = as_vector(_moons(spark, folder))
+    return _scored(decision_tree("classify", 5, featuresCol="vector", labelCol="y").fit(_train(rows)), rows)
+
+
+@query()
+def tree_random_split(spark: SparkSession, folder: str) -> DataFrame:
+    rows = as_vector(_curve(spark, folder))
+    return _scored(decision_tree("regress", 5, "random", featuresCol="vector", labelCol="target").fit(_train(rows)), rows, "target")
+
+
+@query()
+def forest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = as_vector(_moons(spark, folder))
+    return _scored(random_forest("classify", 10, 5, "1", featuresCol="vector", labelCol="y").fit(_train(rows)), rows)
+
+
+@query()
+def forest_regress(spark: SparkSession, folder: str) -> DataFrame:
+    rows = as_vector(_curve(spark, folder))
+    return _scored(random_forest("regress", 10, 5, featuresCol="vector", labelCol="target").fit(_train(rows)), rows, "target")
+
+
+@query()
+def extra_trees_regress(spark: SparkSession, folder: str) -> DataFrame:
+    rows = as_vector(_curve(spark, folder))
+    return _scored(extra_trees(10, featuresCol="vector", labelCol="target").fit(_train(rows)), rows, "target")
+
+
+@query()
+def gbt(spark: SparkSession, folder: str) -> DataFrame:
+    rows = as_vector(_curve(spark, folder))
+    return _scored(gradient_boosting("squared", 8, featuresCol="vector", labelCol="target").fit(_train(rows)), rows, "target")
+
+
+@query()
+def gbt_huber(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _curve(spark, folder)
+    return _scored(boosted_quantiles(_train(rows), label="target", loss="huber", rounds=4, rate=0.4), rows, "target")
+
+
+@query()
+def gbt_quantile(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _curve(spark, folder)
+    return _scored(boosted_quantiles(_train(rows), label="target", loss="quantile", quantile=0.9, rounds=4, rate=0.4), rows, "target")
+
+
+@query()
+def adaboost(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _moons(spark, folder)
+    return _scored(adaboost_classifier(_train(rows), rounds=6), rows)
+
+
+@query()
+def adaboost_regress(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _curve(spark, folder)
+    return _scored(adaboost_regressor(_train(rows), label="target", loss="square", rounds=4), rows, "target")
+
+
+@query()
+def bagging(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _curve(spark, folder)
+    return _scored(bagging_regressor(_train(rows), "key", label="target", members=4, depth=5), rows, "target")
+
+
+@query()
+def reduced_pipeline_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Two named steps: principal components, then logistic regression."""
+    rows = as_vector(polynomial_features(_three(spark, folder), 2))
+    final = LogisticRegression(featuresCol="reduced", labelCol="y", regParam=0.001)
+    return _scored(reduced_pipeline(3, final).fit(_train(rows)), rows)
+
+
+@query()
+def leaderboard_classifiers(spark: SparkSession, folder: str) -> DataFrame:
+    """The comparison list on one data set; a broken entry is reported, not fatal."""
+    rows = as_vector(_moons(spark, folder)).persist()
+    entries = [
+        Entry("Nearest Neighbors", Neighbors(keyCol="key", k=3)),
+        Entry("Linear SVM", linear_svc(1000, 0.025, featuresCol="vector", labelCol="y")),
+        Entry("Decision Tree", decision_tree("classify", 5, featuresCol="vector", labelCol="y")),
+        Entry("Random Forest", random_forest("classify", 10, 5, "1", featuresCol="vector", labelCol="y")),
+        Entry("Naive Bayes", GaussianBayes()),
+        Entry("LDA", LinearDiscriminant()),
+        Entry("QDA", QuadraticDiscriminant()),
+        Entry("Majority", MajorityClass()),
+        Entry("Misspelt metric", Neighbors(keyCol="key", metric="euclidian")),
+    ]
+    return leaderboard(spark, entries, _train(rows), _test(rows), "y")
+
+
+@query()
+def leaderboard_regressors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = as_vector(_curve(spark, folder)).persist()
+    trees = {"featuresCol": "vector", "labelCol": "target"}
+    entries = [
+        Entry("neighbors distance", Neighbors(labelCol="target", keyCol="key", task="regress", weights="distance")),
+        Entry("neighbors 8", Neighbors(labelCol="target", keyCol="key", task="regress", k=8)),
+        Entry("radius", Neighbors(labelCol="target", keyCol="key", task="regress", radius=0.5)),
+        Entry("tree", decision_tree("regress", 5, **trees)),
+        Entry("tree random", decision_tree("regress", 5, "random", **trees)),
+        Entry("svr linear", LinearScore(labelCol="target", loss="tube")),
+    ]
+    return leaderboard(spark, entries, _train(rows), _test(rows), "target", regress=True)
+
+
+@query()
+def model_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """Save two models, load every saved model by name, score the hold-out rows with each."""
+    rows = _moons(spark, folder).persist()
+    root = scratch_path(spark, "models")
+    for name, estimator in (("GaussianBayes", GaussianBayes()), ("LinearDiscriminant", LinearDiscriminant())):
+        save_model(spark, estimator.fit(_train(rows)), root, name, "accuracy", "GridSearch", "multi_class")
+    return score_all(load_models(spark, root, "multi_class-*"), _test(rows), ["key", "y"])
+
+
+@query()
+def forecast_horizons(spark: SparkSession, folder: str) -> DataFrame:
+    """Three horizons trained together: hold-out metrics, fold scores and the forecast of each."""
+    horizons = {"1Q": 63, "1Y": 252, "2Y": 504}
+    columns = [f"lag_{i}" for i in range(1, 6)]
+    ready = scaled_features(horizon_table(daily_revenue(spark, folder), "day", "revenue", horizons), columns).persist()
+    reports = linear_forecasts(ready, "day")
+    wide = [
+        reports["metrics"].select("horizon", F.lit("metrics").alias("report"), "r2", "mae", "mse", "explained_variance"),
+        reports["folds"].select("horizon", F.lit("folds").alias("report"), "mean", "sem"),
+        reports["forecast"].select("horizon", F.lit("forecast").alias("report"), F.col("last").alias("value")),
+    ]
+    out = wide[0]
+    for part in wide[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -15,7 +15,6 @@ from loomtab.operators.aggregates import fold_summary
 from loomtab.operators.ordering import ordinal, shifted
 from loomtab.operators.ranking import last_value
 from loomtab.operators.splits import kfold, split
-from loomtab.operators.columns import stack_frames
 
 
 def horizon_table(df: DataFrame, order: str, value: str, horizons: Mapping[str, int], lags: int = 5) -> DataFrame:
@@ -120,7 +119,3 @@ class _HorizonProblem(Problem):
         y, weight = super().rows(block)
         weight[(block["fold"] < self.first) | (block["fold"] > self.last)] = 0.0
         return y, weight
-
-
-def stacked_reports(reports: Mapping[str, DataFrame]) -> DataFrame:
-    return stack_frames([df.withColumn("report", F.lit(name)) for name, df in reports.items()])
