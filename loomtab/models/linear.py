@@ -32,7 +32,7 @@ def logistic_regression(rows: int, C: float = 1.0, penalty: str = "l2", multi_cl
         raise ValueError(f"multi_class={multi_class!r}: choose multinomial or ovr")
     base = LogisticRegression(
         regParam=1.0 / (C * rows), elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False,
-        family="auto" if multi_class == "ovr" else "multinomial", **columns,
+        family="auto" if multi_class == "ovr" else "multinomial", tol=1e-4, **columns,
     )
     if multi_class == "ovr":
         return OneVsRest(classifier=base, **{k: v for k, v in columns.items() if k in ("featuresCol", "labelCol", "predictionCol", "weightCol")})
@@ -41,7 +41,7 @@ def logistic_regression(rows: int, C: float = 1.0, penalty: str = "l2", multi_cl
 
 def linear_svc(rows: int, C: float = 1.0, classes: int = 2, **columns: Any):
     """MLlib linear support-vector classifier, one-versus-rest beyond two classes."""
-    base = LinearSVC(regParam=1.0 / (C * rows), standardization=False, **columns)
+    base = LinearSVC(regParam=1.0 / (C * rows), standardization=False, tol=1e-3, **columns)
     if classes > 2:
         return OneVsRest(classifier=base, **{k: v for k, v in columns.items() if k in ("featuresCol", "labelCol", "predictionCol", "weightCol")})
     return base

@@ -57,37 +57,50 @@ class Linear:
         return np.column_stack([1.0 - p, p])
 
     def loss_and_gradient(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        z = self.scores(x, theta)
+        value, slope, _ = self._parts(self.scores(x, theta), y, w)
+        return value, np.column_stack([slope.T @ x, slope.sum(0)]).ravel()
+
+    def curvature(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """Second derivatives of the loss sum, size x size."""
+        bend = self._parts(self.scores(x, theta), y, w)[2]
+        wide = np.column_stack([x, np.ones(len(x))])
+        out = np.empty((self.outputs, wide.shape[1], self.outputs, wide.shape[1]))
+        for a in range(self.outputs):
+            for b in range(a, self.outputs):
+                out[a, :, b, :] = (wide * bend(a, b)[:, None]).T @ wide
+                out[b, :, a, :] = out[a, :, b, :]
+        return out.reshape(self.size, self.size)
+
+    def _parts(self, z: np.ndarray, y: np.ndarray, w: np.ndarray):
+        """Loss sum, its slope in every score, and the second derivative between two scores."""
         if self.loss == "softmax":
             p = _softmax(z)
-            truth = np.zeros_like(p)
-            truth[np.arange(len(y)), y.astype(int)] = 1.0
-            value = -np.sum(w * np.log(np.maximum(p[np.arange(len(y)), y.astype(int)], 1e-300)))
-            slope = (p - truth) * w[:, None]
-        else:
-            value, slope = self._single(z[:, 0], y, w)
-            slope = slope[:, None]
-        gradient = np.column_stack([slope.T @ x, slope.sum(0)])
-        return float(value), gradient.ravel()
-
-    def _single(self, z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+            at = np.arange(len(y)), y.astype(int)
+            value = -np.sum(w * np.log(np.maximum(p[at], 1e-300)))
+            slope = p * w[:, None]
+            slope[at] -= w
+            return float(value), slope, lambda a, b: w * p[:, a] * ((a == b) - p[:, b])
+        z = z[:, 0]
+        miss = z - y
         if self.loss == "logistic":
-            return np.sum(w * (np.logaddexp(0.0, z) - y * z)), w * (_sigmoid(z) - y)
-        if self.loss == "squared_hinge":
+            p = _sigmoid(z)
+            value, slope, bend = np.logaddexp(0.0, z) - y * z, p - y, p * (1.0 - p)
+        elif self.loss == "squared_hinge":
             side = 2.0 * y - 1.0
             gap = np.maximum(0.0, 1.0 - side * z)
-            return np.sum(w * gap * gap), -2.0 * w * side * gap
-        miss = z - y
-        if self.loss == "squared":
-            return 0.5 * np.sum(w * miss * miss), w * miss
-        if self.loss == "huber":
+            value, slope, bend = gap * gap, -2.0 * side * gap, 2.0 * (gap > 0)
+        elif self.loss == "squared":
+            value, slope, bend = 0.5 * miss * miss, miss, np.ones_like(miss)
+        elif self.loss == "huber":
             near = np.abs(miss) <= self.margin
             value = np.where(near, 0.5 * miss * miss, self.margin * (np.abs(miss) - 0.5 * self.margin))
-            return np.sum(w * value), w * np.clip(miss, -self.margin, self.margin)
-        if self.loss == "tube":
+            slope, bend = np.clip(miss, -self.margin, self.margin), near.astype(float)
+        elif self.loss == "tube":
             over = np.sign(miss) * np.maximum(0.0, np.abs(miss) - self.margin)
-            return np.sum(w * over * over), 2.0 * w * over
-        raise ValueError(f"unknown loss {self.loss!r}")
+            value, slope, bend = over * over, 2.0 * over, 2.0 * (over != 0)
+        else:
+            raise ValueError(f"unknown loss {self.loss!r}")
+        return float(np.sum(w * value)), (w * slope)[:, None], lambda a, b: w * bend
 
 
 @dataclass(frozen=True)

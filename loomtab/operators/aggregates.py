@@ -24,8 +24,8 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], kind: str = "string") -> DataFrame:
-    """(column, value, n) for every distinct value of every column, in one shuffle.
+def value_counts(df: DataFrame, columns: Sequence[str], kind: str = "string", weight: Column | None = None) -> DataFrame:
+    """(column, value, n[, weight]) for every distinct value of every column, in one shuffle.
 
     Counts are combined before the shuffle, so a value held by most rows costs one
     record per task. Memory does not grow with the number of distinct values.
@@ -33,12 +33,14 @@ def value_counts(df: DataFrame, columns: Sequence[str], kind: str = "string") ->
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns])
     )
+    extra = [] if weight is None else [weight.alias("weight")]
+    totals = [] if weight is None else [F.sum("weight").alias("weight")]
     return (
-        df.select(pairs.alias("pair"))
-        .select("pair.*")
+        df.select(pairs.alias("pair"), *extra)
+        .select("pair.*", *["weight"] * len(extra))
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *totals)
     )
 
 

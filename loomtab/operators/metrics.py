@@ -160,7 +160,7 @@ def _score_table(df: DataFrame, truth: str, score: str, by: Sequence[str]) -> Da
 def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve; tied scores count half. ``truth`` is 0/1."""
     table = _score_table(df, truth, score, by)
-    ranked = running_before(table, "_score", ["neg"], group=by)
+    ranked = running_before(table, "_score", ["neg"], group=by, source=df.select(F.col(score).alias("_score")))
     pairs = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     return ranked.groupBy(*by).agg(
         F.try_divide(pairs, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc")
@@ -170,7 +170,9 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> Da
 def average_precision(df: DataFrame, truth: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Step-wise area under precision-recall, tied scores taken together."""
     table = _score_table(df, truth, score, by)
-    ranked = running_before(table, "_score", ["pos", "neg"], group=by, descending=True)
+    ranked = running_before(
+        table, "_score", ["pos", "neg"], group=by, descending=True, source=df.select(F.col(score).alias("_score"))
+    )
     found = F.col("pos_before") + F.col("pos")
     seen = found + F.col("neg_before") + F.col("neg")
     return ranked.groupBy(*by).agg(

@@ -28,12 +28,16 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def add_ranges(df: DataFrame, order: str, span: int | None = None, ranges: int | None = None, name: str = "_range") -> DataFrame:
-    """Tag each row with the index of the value range its order column falls into.
+def add_ranges(
+    df: DataFrame, order: str, span: int | None = None, ranges: int | None = None, source: DataFrame | None = None
+) -> DataFrame:
+    """Tag each row with the index (_range) of the value range its order column falls into.
 
     ``span`` says the column is uniform on [0, span) (a key hash), so the cut points
-    are known without reading the data. Otherwise a quantile sketch supplies them.
+    are known without reading the data. Otherwise a quantile sketch supplies them, taken
+    from ``source`` (a frame with the same order column that is cheaper to read) if given.
     """
+    name = "_range"
     count = ranges or shuffle_width(df.sparkSession)
     if span is not None:
         return df.withColumn(name, F.floor(F.col(order) * F.lit(count) / F.lit(span)).cast("int"))
@@ -41,7 +45,8 @@ def add_ranges(df: DataFrame, order: str, span: int | None = None, ranges: int |
     cuts: list[float] = []
     if count > 1:
         shares = [i / count for i in range(1, count)]
-        cuts = sorted(set(numbered.approxQuantile("_number", shares, 1.0 / (4 * count))))
+        sketched = numbered if source is None else source.select(as_number(source, order).alias("_number"))
+        cuts = sorted(set(sketched.approxQuantile("_number", shares, 1.0 / (4 * count))))
     if not cuts:
         return numbered.drop("_number").withColumn(name, F.lit(0))
     edges = [float("-inf"), *cuts, float("inf")]
@@ -62,6 +67,7 @@ def running_before(
     descending: bool = False,
     span: int | None = None,
     ranges: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<value>_before``: the total of ``value`` over all earlier rows of the group.
 
@@ -69,7 +75,7 @@ def running_before(
     ``ties`` makes the order total.
     """
     group = list(group)
-    ranged = add_ranges(df, order, span, ranges)
+    ranged = add_ranges(df, order, span, ranges, source)
     way = F.col("_range").desc() if descending else F.col("_range").asc()
     subtotal = ranged.groupBy(*group, "_range").agg(*[F.sum(v).alias(f"_sub_{v}") for v in values])
     earlier = Window.partitionBy(*group).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)

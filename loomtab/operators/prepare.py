@@ -1,7 +1,7 @@
 """Feature preparation as one Estimator: fill, encode, rescale, assemble.
 
-``fit`` reads the training rows twice at most: one aggregate for all numeric columns
-and one value count for all text columns. ``transform`` is a projection of literals, so
+``fit`` reads the rows twice at most: one aggregate for all numeric columns and one
+value count for all text columns. ``transform`` is a projection of literals, so
 it needs no join, works on streams, and never looks at the rows it scores.
 """
 
@@ -71,10 +71,11 @@ class TablePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWrit
         carried = set(get("keyCols")) | ({get("splitCol")} - {""})
         numeric = [c for c in numeric_columns(df, get("integers")) if c not in carried]
         text = [c for c in categorical_columns(df) if c not in carried]
-        train = df.filter(F.col(get("splitCol")) == "train") if get("splitCol") else df
+        fits = F.col(get("splitCol")) == "train" if get("splitCol") else F.lit(True)
+        train = df.filter(fits)
         state = {
             "numeric": self._numeric_state(train, numeric),
-            "text": self._text_state(train, df if get("levelsFrom") == "all" else train, text),
+            "text": self._text_state(df, fits, text),
             "carried": [c for c in df.columns if c in carried],
         }
         model = PrepModel(state=json.dumps(state))
@@ -103,23 +104,31 @@ class TablePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWrit
             states.append({"name": c, "fill": fill} | _after_fill(row, i, present, missing, mean, fill))
         return states
 
-    def _text_state(self, train: DataFrame, leveled: DataFrame, names: list[str]) -> list[dict[str, Any]]:
+    def _text_state(self, df: DataFrame, fits: Column, names: list[str]) -> list[dict[str, Any]]:
         if not names:
             return []
-        counts = value_counts(leveled, names)
-        sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("levels")).collect()
-        wide = {r["column"]: r["levels"] for r in sizes if r["levels"] > self.getOrDefault("maxLevels")}
-        if wide:
-            raise ValueError(
-                f"too many levels for one column each: {wide}; leave these columns out of the frame and encode "
-                "them with indicators_long, which has no limit, or raise maxLevels"
+        rows = df if self.getOrDefault("levelsFrom") == "all" else df.filter(fits)
+        # One pass counts every value on the train rows and on all rows; the levels, their number and the modes follow.
+        counts = value_counts(rows, names, weight=fits.cast("bigint")).persist()
+        try:
+            seen = F.col("weight") > 0 if self.getOrDefault("levelsFrom") == "train" else F.lit(True)
+            facts = counts.groupBy("column").agg(
+                F.count_if(seen).alias("levels"),
+                F.min_by("value", F.when(F.col("weight") > 0, F.struct(-F.col("weight"), F.col("value")))).alias("mode"),
             )
-        levels: dict[str, list[str]] = {c: [] for c in names}
-        for r in counts.select("column", "value").collect():
-            levels[r["column"]].append(r["value"])
-        fills: dict[str, str] = {}
-        if self.getOrDefault("textFill") == "mode":
-            fills = {r["column"]: r["mode"] for r in modes(value_counts(train, names)).collect()}
+            found = {r["column"]: r for r in facts.collect()}
+            wide = {c: r["levels"] for c, r in found.items() if r["levels"] > self.getOrDefault("maxLevels")}
+            if wide:
+                raise ValueError(
+                    f"too many levels for one column each: {wide}; leave these columns out of the frame and encode "
+                    "them with indicators_long, which has no limit, or raise maxLevels"
+                )
+            levels: dict[str, list[str]] = {c: [] for c in names}
+            for r in counts.filter(seen).select("column", "value").collect():
+                levels[r["column"]].append(r["value"])
+        finally:
+            counts.unpersist()
+        fills = {c: r["mode"] for c, r in found.items()} if self.getOrDefault("textFill") == "mode" else {}
         states = []
         for position, c in enumerate(names):
             known = sorted(levels[c])
