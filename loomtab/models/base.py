@@ -99,10 +99,18 @@ def sorted_classes(df: DataFrame, label: str) -> list[Any]:
     return sorted(found)
 
 
-def class_index(label: Column, classes: list[Any]) -> Column:
-    """Position of the label among the sorted classes, from 0."""
-    return (F.array_position(F.array(*[F.lit(c) for c in classes]), label) - 1).cast("int")
+def class_index(label: Column, classes: list[Any], unknown: int | None = None) -> Column:
+    """Position of the label among the sorted classes, from 0.
+
+    A label outside the classes becomes ``unknown``, or stops the job when that is not given.
+    """
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), label)
+    if unknown is None:
+        other = F.raise_error(F.concat(F.lit("label outside the known classes: "), label.cast("string"))).cast("int")
+    else:
+        other = F.lit(unknown)
+    return F.when(place > 0, (place - 1).cast("int")).when(label.isNotNull(), other)
 
 
 def class_at(index: Column, classes: list[Any]) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in classes]), index + 1)
+    return F.get(F.array(*[F.lit(c) for c in classes]), index)

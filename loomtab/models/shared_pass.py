@@ -67,7 +67,10 @@ class Problem:
 
 
 def training_table(df: DataFrame, features: str, label: str, fold: str | None = None, key: str | None = None) -> DataFrame:
-    """The columns a pass needs, cached: (features, y, fold[, key]). The caller unpersists it."""
+    """The columns a pass needs, cached: (features, y, fold[, key]); rows without a label are left out.
+
+    The caller unpersists it.
+    """
     columns = [
         F.col(features).cast("array<double>").alias("features"),
         F.col(label).cast("double").alias("y"),
@@ -75,7 +78,7 @@ def training_table(df: DataFrame, features: str, label: str, fold: str | None =
     ]
     if key:
         columns.append(F.col(key).alias("key"))
-    return df.select(*columns).persist()
+    return df.filter(F.col(label).isNotNull()).select(*columns).persist()
 
 
 def _stepper(theta: np.ndarray, max_iter: int, tol: float) -> Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], np.ndarray]:

@@ -250,7 +250,7 @@ def one_of_many(label: Column, classes: list[str]) -> Column:
 
 
 def from_one_of_many(code: Column, classes: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in sorted(classes)]), F.array_position(code, 1).cast("int"))
+    return F.get(F.array(*[F.lit(c) for c in sorted(classes)]), F.array_position(code, 1).cast("int") - 1)
 
 
 def as_vector(df: DataFrame, features: str = "features", output: str = "vector") -> DataFrame:
