@@ -6,6 +6,8 @@ no signal. Iterative trainers have no SQL form; unit tests check their propertie
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -182,10 +184,11 @@ def network_error_trace(spark: SparkSession, folder: str) -> DataFrame:
     estimator.watch = lambda epoch, theta, cost: trace.append((epoch, theta.tolist()))
     model = estimator.fit(_train(rows))
     state = model.fitted
-    net = spark.createDataFrame(trace, "epoch int, theta array<double>")
     width, hidden, outputs = state["features"], state["hidden"], state["outputs"]
     cut = (width + 1) * hidden
-    scored = rows.join(F.broadcast(net))  # one row per epoch, twenty at most
+    # The trace is a literal, one entry per epoch, so scoring every epoch needs no join.
+    epochs = F.from_json(F.lit(json.dumps([{"epoch": e, "theta": t} for e, t in trace])), "array<struct<epoch:int,theta:array<double>>>")
+    scored = rows.select("y", "split", "features", F.explode(epochs).alias("net")).select("*", "net.*")
     theta, x = F.col("theta"), F.col("features")
 
     def unit(at: int, inputs: int, size: int, j: int, values) -> F.Column:

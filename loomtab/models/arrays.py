@@ -44,15 +44,15 @@ def partition_totals(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], n
     return [(int(slots[i]), totals[i]) for i in np.argsort(slots, kind="stable")]
 
 
-def summed(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.ndarray], partitions: int) -> np.ndarray:
+def summed(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.ndarray], partitions: int | None = None) -> np.ndarray:
     """Sum over partitions of the vector ``work`` returns for each of them.
 
-    Beyond FAN_IN partitions the vectors are added up by executors first, about
-    sqrt(partitions) of them at a time, so the driver receives few rows at any scale.
+    Unless there are known to be few partitions, executors add the vectors up in groups
+    first, so the driver receives few rows at any scale.
     """
-    if partitions <= FAN_IN:
+    if partitions is not None and partitions <= FAN_IN:
         return np.sum([t for _, t in partition_totals(df, work)], axis=0)
-    groups = math.isqrt(partitions)
+    groups = math.isqrt(partitions) if partitions else FAN_IN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _one_row(TaskContext.get().partitionId() % groups, work(batches))

@@ -201,7 +201,7 @@ def class_scatters(df: DataFrame, features: str, label: str, rows: list[dict[str
                 totals[i] += gap.T @ gap
         return totals.ravel()
 
-    flat = summed(table, work, table.rdd.getNumPartitions())
+    flat = summed(table, work)
     return list(flat.reshape(len(rows), width, width))
 
 

@@ -140,7 +140,9 @@ def rows_of_class(df: DataFrame, label: str, value: object) -> DataFrame:
     return df.filter(F.col(label) == F.lit(value))
 
 
-def row_range(df: DataFrame, order: str, start: int, stop: int, group: Sequence[str] = ()) -> DataFrame:
+def row_range(
+    df: DataFrame, order: str, start: int, stop: int, group: Sequence[str] = (), ties: Sequence[str] = ()
+) -> DataFrame:
     """Rows start <= position < stop in ``order``, positions counted from 0 per group."""
-    placed = ordinal(df, order, group=group, name="_position")
+    placed = ordinal(df, order, ties, group, name="_position")
     return placed.filter(F.col("_position").between(start + 1, stop)).drop("_position")

@@ -8,6 +8,8 @@ A group that holds most of the rows is cut the same way, so no task grows with i
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -18,6 +20,9 @@ from pyspark.sql import types as T
 from loomtab.session import shuffle_width
 
 
+ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def as_number(df: DataFrame, name: str) -> Column:
     """Order-preserving double for a numeric, date or timestamp column."""
     kind = df.schema[name].dataType
@@ -28,34 +33,55 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _cuts(df: DataFrame, number: Column, count: int) -> list[float]:
+    """Quantiles that cut a column into ``count`` ranges; repeats mark values held by many rows."""
+    shares = [i / count for i in range(1, count)]
+    return df.select(number.alias("_number")).approxQuantile("_number", shares, 1.0 / (4 * count)) if shares else []
+
+
+def _between_cuts(df: DataFrame, number: Column, cuts: Sequence[float], name: str) -> DataFrame:
+    """Add the index of the interval a number falls into, by binary search over the cuts."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    edges = [float("-inf"), *cuts, float("inf")]
+    cutter = Bucketizer(splits=edges, inputCol="_number", outputCol="_bucket", handleInvalid="keep")
+    return cutter.transform(df.withColumn("_number", number)).withColumn(name, F.col("_bucket").cast("int")).drop("_number", "_bucket")
+
+
 def add_ranges(
-    df: DataFrame, order: str, span: int | None = None, ranges: int | None = None, source: DataFrame | None = None
+    df: DataFrame,
+    order: str,
+    ties: Sequence[str] = (),
+    descending: bool = False,
+    span: int | None = None,
+    ranges: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Tag each row with the index (_range) of the value range its order column falls into.
+    """Tag each row with ``_range``, an index that grows along the wanted order.
 
-    ``span`` says the column is uniform on [0, span) (a key hash), so the cut points
+    ``span`` says the order column is uniform on [0, span) (a key hash), so the cut points
     are known without reading the data. Otherwise a quantile sketch supplies them, taken
-    from ``source`` (a frame with the same order column that is cheaper to read) if given.
+    from ``source`` when that frame has the same order column, is cheaper to read, and
+    ``df`` holds one row per value of it. A value that many rows share gets a range of its
+    own, which is cut again by the first tie column.
     """
-    name = "_range"
     count = ranges or shuffle_width(df.sparkSession)
+    sign = -1 if descending else 1
     if span is not None:
-        return df.withColumn(name, F.floor(F.col(order) * F.lit(count) / F.lit(span)).cast("int"))
-    numbered = df.withColumn("_number", as_number(df, order))
-    cuts: list[float] = []
-    if count > 1:
-        shares = [i / count for i in range(1, count)]
-        sketched = numbered if source is None else source.select(as_number(source, order).alias("_number"))
-        cuts = sorted(set(sketched.approxQuantile("_number", shares, 1.0 / (4 * count))))
-    if not cuts:
-        return numbered.drop("_number").withColumn(name, F.lit(0))
-    edges = [float("-inf"), *cuts, float("inf")]
-    cutter = Bucketizer(splits=edges, inputCol="_number", outputCol="_bucket", handleInvalid="keep")
-    return (
-        cutter.transform(numbered)
-        .withColumn(name, F.col("_bucket").cast("int"))
-        .drop("_number", "_bucket")
-    )
+        return df.withColumn("_range", sign * F.floor(F.col(order) * F.lit(count) / F.lit(span)).cast("int"))
+    read = df if source is None else source
+    found = _cuts(read, as_number(read, order), count)
+    hot = sorted(v for v, times in Counter(found).items() if times > 1)
+    edges = sorted({*found, *[math.nextafter(v, math.inf) for v in hot]})
+    ranged = _between_cuts(df, as_number(df, order), edges, "_range")
+    tie = next((t for t in ties if isinstance(df.schema[t].dataType, ORDERED)), None)
+    if not hot or source is not None or tie is None:
+        return ranged.withColumn("_range", sign * F.col("_range"))
+    crowded = as_number(df, order).isin(hot)
+    inner = sorted(set(_cuts(df.filter(crowded), as_number(df, tie), count)))
+    parted = _between_cuts(ranged, as_number(df, tie), inner, "_part")
+    part = F.when(crowded, F.col("_part")).otherwise(F.lit(0))
+    return parted.withColumn("_range", sign * F.col("_range") * F.lit(len(inner) + 1) + part).drop("_part")
 
 
 def running_before(
@@ -71,14 +97,12 @@ def running_before(
 ) -> DataFrame:
     """Add ``<value>_before``: the total of ``value`` over all earlier rows of the group.
 
-    ``order`` should be nearly unique per group (pre-aggregate repeated values first);
-    ``ties`` makes the order total.
+    ``ties`` orders rows with equal ``order`` and should make the order total.
     """
     group = list(group)
-    ranged = add_ranges(df, order, span, ranges, source)
-    way = F.col("_range").desc() if descending else F.col("_range").asc()
+    ranged = add_ranges(df, order, ties, descending, span, ranges, source)
     subtotal = ranged.groupBy(*group, "_range").agg(*[F.sum(v).alias(f"_sub_{v}") for v in values])
-    earlier = Window.partitionBy(*group).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = subtotal.select(
         *group,
         "_range",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +23,16 @@ def read_table(
 
     Pass ``schema`` in production jobs: without it a CSV is read twice to infer types.
     """
-    paths = [path] if isinstance(path, str) else list(path)
+    return clean_inf(normalize_names(_reader(spark, [path] if isinstance(path, str) else list(path), schema, missing, kind)))
+
+
+def _reader(spark: SparkSession, paths: list[str], schema: T.StructType | str | None, missing: str = "NA", kind: str | None = None) -> DataFrame:
     form = kind or ("parquet" if paths[0].rstrip("/").endswith(".parquet") else "csv")
     if form == "parquet":
-        df = spark.read.parquet(*paths)
-    else:
-        reader = spark.read.option("header", True).option("nullValue", missing).option("emptyValue", "")
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        df = reader.csv(paths)
-    return clean_inf(normalize_names(df))
+        return spark.read.parquet(*paths)
+    reader = spark.read.option("header", True).option("nullValue", missing).option("emptyValue", "")
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    return reader.csv(paths)
 
 
 def read_cohorts(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -44,8 +46,14 @@ def cohorts_by(df: DataFrame, is_train: Column) -> DataFrame:
 
 
 def read_many(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType | str | None = None, tag: str = "horizon") -> DataFrame:
-    """A family of files as one frame, tagged by the key of the file each row came from."""
-    return stack_frames([read_table(spark, path, schema).withColumn(tag, F.lit(name)) for name, path in paths.items()])
+    """A family of files or folders as one scan, tagged by the name of the path each row came from."""
+    df = _reader(spark, list(paths.values()), schema)
+    place = F.col("_metadata.file_path")
+    origin = F.lit(None).cast("string")
+    # Longer paths first, so that a path that extends another one is not taken for it.
+    for name, path in sorted(paths.items(), key=lambda item: len(item[1])):
+        origin = F.when(place.contains(quote(path, safe="/:=,+@&$!*'();~")), F.lit(name)).otherwise(origin)
+    return clean_inf(normalize_names(df.select(*df.columns, origin.alias(tag))))
 
 
 def offsets_table(spark: SparkSession, offsets: Mapping[str, tuple[int, int, int]], tag: str = "horizon") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomtab.functions.hashing import SPAN, key_hash
 from loomtab.operators import columns, splits
 from loomtab.operators.aggregates import histogram
-from loomtab.operators.ordering import ordinal, running_before, shifted
+from loomtab.operators.ordering import add_ranges, ordinal, running_before, shifted
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 16])
@@ -36,6 +36,19 @@ def test_ordinal_of_dates(spark):
     assert got.position.tolist() == list(range(1, 41))
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_a_crowded_value_is_cut_by_its_ties(spark, descending):
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"o": np.where(np.arange(900) % 3 == 0, 5.0, rng.integers(0, 9, 900)), "t": rng.permutation(900)})
+    ranged = add_ranges(spark.createDataFrame(frame), "o", ["t"], descending, ranges=8)
+    sizes = ranged.groupBy("_range").count().toPandas()["count"]
+    assert sizes.max() < 900 / 8 * 2
+    got = running_before(
+        spark.createDataFrame(frame).withColumn("v", F.lit(1)), "o", ["v"], ties=["t"], descending=descending, ranges=8
+    ).toPandas().sort_values(["o", "t"], ascending=[not descending, True])
+    assert got.v_before.tolist() == list(range(900))
+
+
 @pytest.mark.parametrize("block", [1, 7, 1000])
 def test_shifted_equals_pandas(spark, block):
     frame = pd.DataFrame({"g": [0] * 60 + [1] * 25, "position": [*range(1, 61), *range(1, 26)], "v": np.arange(85.0)})

@@ -208,6 +208,15 @@ def test_run_log_rows(spark):
     assert [(r["item"], r["measure"], r["value"]) for r in log] == [("a", "n", 3.0), ("a", "recall", 0.5)]
 
 
+def test_family_of_files_is_one_scan(spark, tmp_path):
+    for name, text in (("Gas Forecast 1Q.csv", "Day,V\n1,2\n"), ("Gas Forecast 1Y.csv", "Day,V\n3,4\n5,NA\n")):
+        (tmp_path / name).write_text(text)
+    paths = {h: str(tmp_path / f"Gas Forecast {h}.csv") for h in ("1Q", "1Y")}
+    df = tables.read_many(spark, paths, "Day int, V double")
+    assert sorted(tuple(r) for r in df.select("horizon", "day").collect()) == [("1Q", 1), ("1Y", 3), ("1Y", 5)]
+    assert df.filter("v is null").count() == 1
+
+
 def test_offsets_table(spark):
     row = tables.offsets_table(spark, {"1Q": (10, 12, 3)}).first()
     assert (row["horizon"], row["n_train"], row["n_last"], row["window"]) == ("1Q", 10, 12, 3)
