@@ -30,7 +30,7 @@ from loomtab.operators.prepare import as_vector
 from loomtab.operators.splits import split, stratified_kfold
 from loomtab.plans.evaluators import TableEvaluator
 from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features
-from loomtab.plans.grids import grid_table, logistic_grid, param_list, random_table
+from loomtab.plans.grids import grid_table, logistic_grid, network_grid, param_list, random_table
 from loomtab.plans.leaderboard import Entry, leaderboard
 from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, ranked, results_table, shared_search
 from loomtab.session import scratch_path
@@ -106,8 +106,8 @@ def margin_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def network_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Hidden sizes by penalties, five folds, trained together."""
-    grid = [{"n_hidden": [2, 8], "alpha": [1e-5, 1e-1]}]
+    """The 42 distinct quasi-Newton candidates of the network grid, five folds each, trained together."""
+    grid = [{name: values for name, values in g.items() if name in ("alpha", "n_hidden")} for g in network_grid()]
     candidates = param_list(grid_table(spark, "network", grid))
     scores = shared_search(_train(_moons(spark, folder)), candidates, "y", objectives=["accuracy", "log_loss"], max_iter=40)
     return _summary(scores)

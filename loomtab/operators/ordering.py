@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -102,17 +104,19 @@ def running_before(
     group = list(group)
     ranged = add_ranges(df, order, ties, descending, span, ranges, source)
     subtotal = ranged.groupBy(*group, "_range").agg(*[F.sum(v).alias(f"_sub_{v}") for v in values])
+    # At most one row per range and group reaches this window, however large the table is.
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, "_range"]
     offsets = subtotal.select(
-        *group,
-        "_range",
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
         *[F.coalesce(F.sum(f"_sub_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}") for v in values],
     )
     inside_order = [F.col(order).desc() if descending else F.col(order).asc(), *[F.col(t).asc() for t in ties]]
     inside = (
         Window.partitionBy(*group, "_range").orderBy(*inside_order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = ranged.join(offsets, [*group, "_range"])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])  # rows of a NULL group stay
+    placed = ranged.join(offsets, same)
     return placed.select(
         *df.columns,
         *[

@@ -24,6 +24,12 @@ def test_running_totals_equal_pandas(spark, ranges, descending):
     assert merged.v_before.tolist() == want.sort_values("o").v_before.tolist()
 
 
+def test_rows_of_a_null_group_are_kept(spark):
+    rows = spark.createDataFrame([(None, 1.0), ("a", 2.0), (None, 3.0), ("a", 4.0)], "g string, o double")
+    got = sorted((r["g"] or "", r["o"], r["position"]) for r in ordinal(rows, "o", group=["g"]).collect())
+    assert got == [("", 1.0, 1), ("", 3.0, 2), ("a", 2.0, 1), ("a", 4.0, 2)]
+
+
 def test_ordinal_by_hash_spans_the_table_once(spark):
     rows = spark.range(1000).withColumn("h", key_hash("id"))
     got = ordinal(rows, "h", ties=["id"], span=SPAN).toPandas().sort_values(["h", "id"])
