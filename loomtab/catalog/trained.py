@@ -20,18 +20,19 @@ from loomtab.models.linear import (
 )
 from loomtab.models.mlp import MlpClassifier, MlpRegressor, small_network, softmax_network
 from loomtab.models.neighbors import Neighbors
-from loomtab.models.simple import GaussianBayes, LinearDiscriminant, MajorityClass, QuadraticDiscriminant
+from loomtab.models.simple import GaussianBayes, LinearDiscriminant
 from loomtab.models.trees import (
-    adaboost_classifier, adaboost_regressor, bagging_regressor, boosted_quantiles, decision_tree, extra_trees, gradient_boosting,
-    random_forest,
+    adaboost_classifier, adaboost_regressor, bagging_regressor, boosted_quantiles, decision_tree, extra_trees, first_rounds,
+    gradient_boosting, random_forest,
 )
 from loomtab.operators import metrics
+from loomtab.operators.columns import stack_frames
 from loomtab.operators.prepare import as_vector
 from loomtab.operators.splits import split, stratified_kfold
 from loomtab.plans.evaluators import TableEvaluator
-from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features
+from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features, searched_forecasts
 from loomtab.plans.grids import grid_table, logistic_grid, network_grid, param_list, random_table
-from loomtab.plans.leaderboard import Entry, leaderboard
+from loomtab.plans.leaderboard import Entry, classifier_entries, leaderboard, regressor_entries
 from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, ranked, results_table, shared_search
 from loomtab.session import scratch_path
 from loomtab.sources import generators
@@ -314,35 +315,32 @@ def reduced_pipeline_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def leaderboard_classifiers(spark: SparkSession, folder: str) -> DataFrame:
-    """The comparison list on one data set; a broken entry is reported, not fatal."""
+    """The nine compared classifiers on one data set; a broken entry is reported, not fatal."""
     rows = as_vector(_moons(spark, folder)).persist()
-    entries = [
-        Entry("Nearest Neighbors", Neighbors(keyCol="key", k=3)),
-        Entry("Linear SVM", linear_svc(1000, 0.025, featuresCol="vector", labelCol="y")),
-        Entry("Decision Tree", decision_tree("classify", 5, featuresCol="vector", labelCol="y")),
-        Entry("Random Forest", random_forest("classify", 10, 5, "1", featuresCol="vector", labelCol="y")),
-        Entry("Naive Bayes", GaussianBayes()),
-        Entry("LDA", LinearDiscriminant()),
-        Entry("QDA", QuadraticDiscriminant()),
-        Entry("Majority", MajorityClass()),
-        Entry("Misspelt metric", Neighbors(keyCol="key", metric="euclidian")),
-    ]
+    entries = classifier_entries(1000, "key", boosting_rounds=5)
+    entries.append(Entry("Misspelt metric", Neighbors(keyCol="key", metric="euclidian")))
     return leaderboard(spark, entries, _train(rows), _test(rows), "y")
 
 
 @query()
 def leaderboard_regressors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct regressor setting of the long comparison, few rounds each."""
     rows = as_vector(_curve(spark, folder)).persist()
-    trees = {"featuresCol": "vector", "labelCol": "target"}
-    entries = [
-        Entry("neighbors distance", Neighbors(labelCol="target", keyCol="key", task="regress", weights="distance")),
-        Entry("neighbors 8", Neighbors(labelCol="target", keyCol="key", task="regress", k=8)),
-        Entry("radius", Neighbors(labelCol="target", keyCol="key", task="regress", radius=0.5)),
-        Entry("tree", decision_tree("regress", 5, **trees)),
-        Entry("tree random", decision_tree("regress", 5, "random", **trees)),
-        Entry("svr linear", LinearScore(labelCol="target", loss="tube")),
-    ]
-    return leaderboard(spark, entries, _train(rows), _test(rows), "target", regress=True)
+    return leaderboard(spark, regressor_entries("key", "target", rounds=2), _train(rows), _test(rows), "target", regress=True)
+
+
+@query()
+def boosting_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosting candidates by rate and rounds; the shorter ensembles are prefixes of the longest fit."""
+    rows = _moons(spark, folder).persist()
+    parts = []
+    for rate in (0.001, 1.0):
+        longest = adaboost_classifier(_train(rows), rounds=5, rate=rate)
+        for rounds in (2, 5):
+            scored = first_rounds(longest, rounds).transform(_test(rows))
+            found = metrics.accuracy(scored, "y", "prediction")
+            parts.append(found.select(F.lit(rounds).alias("rounds"), F.lit(rate).alias("rate"), "accuracy"))
+    return stack_frames(parts)
 
 
 @query()
@@ -371,3 +369,22 @@ def forecast_horizons(spark: SparkSession, folder: str) -> DataFrame:
     for part in wide[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+@query()
+def forecast_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Regressors searched at two horizons; the winner of each is refitted and forecasts."""
+    columns = [f"lag_{i}" for i in range(1, 4)]
+    series = horizon_table(daily_revenue(spark, folder), "day", "revenue", {"1Q": 63, "1Y": 252}, lags=3)
+    ready = as_vector(scaled_features(series, columns)).withColumn("key", F.col("position")).persist()
+    ml = {"featuresCol": "vector", "labelCol": "target"}
+    entries = [
+        Entry("tree", decision_tree("regress", 3, **ml)),
+        Entry("neighbors 16", Neighbors(labelCol="target", keyCol="key", task="regress", k=16)),
+    ]
+    reports = searched_forecasts(ready, "day", entries)
+    return reports["search"].withColumn("report", F.lit("search")).unionByName(
+        reports["metrics"].select("horizon", "candidate", "r2", "mae", F.lit("metrics").alias("report")), allowMissingColumns=True
+    ).unionByName(
+        reports["forecast"].select("horizon", "candidate", F.col("last").alias("value"), F.lit("forecast").alias("report")), allowMissingColumns=True
+    )

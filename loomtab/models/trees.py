@@ -152,6 +152,15 @@ def adaboost_classifier(
     return _assembled(features, stages, vote)
 
 
+def first_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The ensemble after fewer rounds, so that one long fit serves every shorter candidate."""
+    vector, *stages, vote = model.stages
+    state = vote.fitted
+    each = len(stages) // len(state["weights"])
+    short = VoteModel(json.dumps(state | {"weights": state["weights"][:rounds]}), vote.getOrDefault("members")[:rounds])
+    return PipelineModel([vector, *stages[: rounds * each], short._set(predictionCol=vote.getOrDefault("predictionCol"))])
+
+
 def _advance(old: DataFrame, new: DataFrame, cut: bool) -> DataFrame:
     """Replace the working frame, through the checkpoint folder every few rounds."""
     ready = checkpointed(new).persist() if cut else new.persist()

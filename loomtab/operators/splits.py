@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,13 +75,17 @@ def batches(df: DataFrame, key: str, count: int, seed: int | None = None) -> Dat
 
 def bootstrap_weight(key: str, draw: int, terms: int = 12) -> Column:
     """Times a row occurs in bootstrap sample ``draw``: a Poisson(1) count from the key's hash."""
-    u = uniform(key, seed=draw)
-    total, mass, count = 0.0, math.exp(-1.0), F.lit(0)
+    steps, total, mass = [], 0.0, math.exp(-1.0)
     for n in range(terms):
         total += mass
-        count = count + (u > F.lit(total)).cast("int")
+        steps.append(total)
         mass /= n + 1
-    return count
+
+    def count(u: Column) -> Column:
+        return reduce(add, [(u > F.lit(step)).cast("int") for step in steps])
+
+    # Through a one-element array the draw is hashed once, not once per term.
+    return F.transform(F.array(uniform(key, seed=draw)), count)[0]
 
 
 def horizon_frame(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,12 @@ from loomtab.models.losses import Linear
 from loomtab.models.shared_pass import Problem, fit_all, training_table
 from loomtab.operators import metrics
 from loomtab.operators.aggregates import fold_summary
+from loomtab.operators.columns import stack_frames
 from loomtab.operators.ordering import ordinal, shifted
-from loomtab.operators.ranking import last_value
+from loomtab.operators.ranking import best_model, last_value
 from loomtab.operators.splits import kfold, split
+from loomtab.plans.leaderboard import Entry
+from loomtab.plans.search import fold_predictions
 
 
 def horizon_table(df: DataFrame, order: str, value: str, horizons: Mapping[str, int], lags: int = 5) -> DataFrame:
@@ -105,6 +109,46 @@ def linear_forecasts(ready: DataFrame, order: str, strength: float = 1e-3, loss:
     }
 
 
+def searched_forecasts(
+    ready: DataFrame, order: str, entries: Sequence[Entry], folds: int = 5, parallelism: int = 4
+) -> dict[str, DataFrame]:
+    """Search any list of regressors at every horizon, refit the best one of each and forecast with it.
+
+    Returns 'search' (mean r2 over folds and its standard error per horizon and candidate),
+    'metrics' (hold-out metrics of the winners) and 'forecast' (their value for the last row).
+    """
+    known = split(kfold(ready.filter("target IS NOT NULL"), order, folds), order).persist()
+    train = known.filter("split = 'train'")
+    names = [r["horizon"] for r in ready.select("horizon").distinct().orderBy("horizon").collect()]
+
+    def crossed(cell: tuple[str, Entry]) -> DataFrame:
+        horizon, entry = cell
+        rows = train.filter(F.col("horizon") == horizon)
+        out = fold_predictions(entry.train, rows, "fold", folds, 1)
+        return out.select("horizon", F.lit(entry.name).alias("candidate"), "fold", "target", "prediction")
+
+    def chosen(horizon: str) -> tuple[DataFrame, DataFrame]:
+        entry = next(e for e in entries if e.name == winners[horizon])
+        model = entry.train(train.filter(F.col("horizon") == horizon))
+        test = model.transform(known.filter((F.col("split") == "test") & (F.col("horizon") == horizon)))
+        future = model.transform(ready.filter(F.col("horizon") == horizon))
+        return tuple(df.select("horizon", F.lit(entry.name).alias("candidate"), order, "target", "prediction") for df in (test, future))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(crossed, [(h, e) for h in names for e in entries]))
+        scores = metrics.regression(stack_frames(parts), "target", "prediction", ["horizon", "candidate", "fold"])
+        table = fold_summary(scores, "r2", ["horizon", "candidate"])
+        table = ready.sparkSession.createDataFrame(table.toArrow(), table.schema)
+        winners = {r["horizon"]: r["candidate"] for r in best_model(table, "mean", by=["horizon"]).collect()}
+        tests, futures = zip(*pool.map(chosen, names))
+    by = ["horizon", "candidate"]
+    return {
+        "search": table,
+        "metrics": metrics.regression(stack_frames(tests), "target", "prediction", by),
+        "forecast": last_value(stack_frames(futures), "prediction", order, by),
+    }
+
+
 class _HorizonProblem(Problem):
     """A problem over the rows of one horizon: a run of fold codes, minus the held-out one."""
 

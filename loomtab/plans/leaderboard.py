@@ -12,7 +12,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtab.models.base import Columns
+from loomtab.models.linear import LinearScore, kernel_map, linear_svc, polynomial_features
+from loomtab.models.neighbors import Neighbors
+from loomtab.models.simple import GaussianBayes, LinearDiscriminant, QuadraticDiscriminant
+from loomtab.models.trees import (
+    adaboost_classifier, adaboost_regressor, bagging_regressor, boosted_quantiles, decision_tree, extra_trees, gradient_boosting,
+    random_forest,
+)
 from loomtab.operators import metrics
 from loomtab.operators.ranking import best_model
 
@@ -59,8 +65,61 @@ def winner(board: DataFrame) -> DataFrame:
     return best_model(board, "score", "candidate").join(board.select("candidate", "name"), "candidate")
 
 
+def mapped_fit(mapping: Callable[[DataFrame], DataFrame], estimator: Estimator) -> Callable[[DataFrame], Any]:
+    """Fit on explicitly mapped features; the model maps the rows it scores the same way."""
+
+    class Mapped:
+        def __init__(self, model: Any):
+            self.model = model
+
+        def transform(self, df: DataFrame) -> DataFrame:
+            return self.model.transform(mapping(df))
+
+    return lambda df: Mapped(estimator.fit(mapping(df)))
+
+
+def classifier_entries(rows: int, key: str, label: str = "y", vector: str = "vector", boosting_rounds: int = 50) -> list[Entry]:
+    """The nine compared classifiers with their settings; frames need 'features' and an ML vector column."""
+    # Names and settings of the comparison.
+    ml = {"featuresCol": vector, "labelCol": label}
+    return [
+        Entry("Nearest Neighbors", Neighbors(keyCol=key, labelCol=label, k=3)),
+        Entry("Linear SVM", linear_svc(rows, 0.025, **ml)),
+        Entry("RBF SVM", mapped_fit(lambda df: kernel_map(df, "rbf", gamma=2.0, components=100), LinearScore(labelCol=label, loss="squared_hinge", C=1.0))),
+        Entry("Decision Tree", decision_tree("classify", 5, **ml)),
+        Entry("Random Forest", random_forest("classify", 10, 5, "1", **ml)),
+        Entry("AdaBoost", lambda df: adaboost_classifier(df, label=label, rounds=boosting_rounds)),
+        Entry("Naive Bayes", GaussianBayes(labelCol=label)),
+        Entry("LDA", LinearDiscriminant(labelCol=label)),
+        Entry("QDA", QuadraticDiscriminant(labelCol=label)),
+    ]
+
+
+def regressor_entries(key: str, label: str, vector: str = "vector", rounds: int = 50) -> list[Entry]:
+    """The distinct regressor settings of the long comparison (tree indexes of neighbours give equal results)."""
+    ml = {"featuresCol": vector, "labelCol": label}
+    entries = [
+        Entry("SVR linear", LinearScore(labelCol=label, loss="tube")),
+        Entry("SVR poly", mapped_fit(lambda df: polynomial_features(df, 3), LinearScore(labelCol=label, loss="tube"))),
+        Entry("SVR rbf", mapped_fit(lambda df: kernel_map(df, "rbf", components=100), LinearScore(labelCol=label, loss="tube"))),
+    ]
+    for weights in ("distance", "uniform"):
+        entries += [Entry(f"neighbors k={k} {weights}", Neighbors(keyCol=key, labelCol=label, task="regress", k=k, weights=weights)) for k in (5, 8)]
+        entries += [
+            Entry(f"radius {radius} {weights}", Neighbors(keyCol=key, labelCol=label, task="regress", radius=radius, weights=weights))
+            for radius in (1.0, 0.5)
+        ]
+    entries += [Entry(f"tree {how}", decision_tree("regress", 5, how, **ml)) for how in ("best", "random")]
+    for loss in ("linear", "square", "exponential"):
+        entries.append(Entry(f"AdaBoost {loss}", lambda df, loss=loss: adaboost_regressor(df, label=label, loss=loss, rounds=rounds)))
+    entries.append(Entry("bagging", lambda df: bagging_regressor(df, key, label=label)))
+    entries += [Entry(f"extra trees {n}", extra_trees(n, **ml)) for n in (5, 10, 15)]
+    entries.append(Entry("boosting ls", gradient_boosting("squared", rounds, **ml)))
+    for loss in ("lad", "huber", "quantile"):
+        entries.append(Entry(f"boosting {loss}", lambda df, loss=loss: boosted_quantiles(df, label=label, loss=loss, rounds=rounds)))
+    return entries
+
+
 def with_vector(df: DataFrame, features: str = "features", output: str = "vector") -> DataFrame:
     return df.withColumn(output, array_to_vector(F.col(features).cast("array<double>")))
 
-
-__all__ = ["Columns", "Entry", "leaderboard", "winner", "with_vector"]
