@@ -33,7 +33,7 @@ from loomtab.plans.evaluators import TableEvaluator
 from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features, searched_forecasts
 from loomtab.plans.grids import grid_table, logistic_grid, network_grid, param_list, random_table
 from loomtab.plans.leaderboard import Entry, classifier_entries, leaderboard, regressor_entries
-from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, ranked, results_table, shared_search
+from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, kernel_search, ranked, results_table, shared_search
 from loomtab.session import scratch_path
 from loomtab.sources import generators
 from loomtab.sources.registry import load_models, save_model, score_all
@@ -94,15 +94,18 @@ def logistic_random_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def margin_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Linear and polynomial margins over C, three classes one-versus-rest."""
-    rows = _train(_three(spark, folder))
-    candidates = param_list(grid_table(spark, "margin", [{"C": [1.0, 10.0, 100.0]}]))
-    parts = []
-    for degree in (1, 2, 3):
-        mapped = polynomial_features(rows, degree) if degree > 1 else rows
-        scores = shared_search(mapped, candidates, "y", objectives=["accuracy", "f1"])
-        parts.append(_summary(scores).withColumn("degree", F.lit(degree)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Linear, polynomial and rbf margins over C and gamma; a kernel without a feature map is reported."""
+    c = [1.0, 10.0, 100.0]
+    grid = [
+        {"kernel": ["poly"], "C": c, "degree": [2, 3], "gamma": [0.1, 1.0]},
+        {"kernel": ["rbf"], "C": c, "gamma": [0.1, 1.0]},
+        {"kernel": ["sigmoid"], "C": c[:1], "gamma": [0.1]},
+        {"kernel": ["linear"], "C": c},
+    ]
+    candidates = param_list(grid_table(spark, "margin", grid))
+    scores = kernel_search(_train(_moons(spark, folder)), candidates, "y", components=32, objectives=["accuracy", "f1"])
+    failed = scores.filter("error IS NOT NULL").select("candidate", "error")
+    return ranked(scores, 5).select("objective", "candidate", "mean", "std", "rank").unionByName(failed, allowMissingColumns=True)
 
 
 @query()
@@ -317,7 +320,7 @@ def reduced_pipeline_fit(spark: SparkSession, folder: str) -> DataFrame:
 def leaderboard_classifiers(spark: SparkSession, folder: str) -> DataFrame:
     """The nine compared classifiers on one data set; a broken entry is reported, not fatal."""
     rows = as_vector(_moons(spark, folder)).persist()
-    entries = classifier_entries(1000, "key", boosting_rounds=5)
+    entries = classifier_entries("key", boosting_rounds=5)
     entries.append(Entry("Misspelt metric", Neighbors(keyCol="key", metric="euclidian")))
     return leaderboard(spark, entries, _train(rows), _test(rows), "y")
 

@@ -38,6 +38,7 @@ class Problem:
     holdout: int | None = None
     class_weight: dict[int, float] = field(default_factory=dict)
     positive: int | None = None  # one-vs-rest: this class is 1, the others 0
+    span: tuple[int, int] | None = None  # the part of the feature row this model reads
     theta: np.ndarray | None = None
     seed: int = 0
     max_iter: int = 100
@@ -53,6 +54,9 @@ class Problem:
         """The part of the problem a task needs."""
         return replace(self, theta=None)
 
+    def view(self, features: np.ndarray) -> np.ndarray:
+        return features if self.span is None else features[:, self.span[0] : self.span[1]]
+
     def rows(self, block: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Targets and weights of a block as this problem sees them."""
         y = block["y"].astype(float)
@@ -258,7 +262,7 @@ def _evaluate(
                 used = weight > 0
                 if not used.any():
                     continue
-                x, y, weight = block["features"][used], y[used], weight[used]
+                x, y, weight = problem.view(block["features"])[used], y[used], weight[used]
                 loss, gradient = problem.family.loss_and_gradient(x, y, weight, point)
                 total[0] += weight.sum()
                 total[1] += loss
@@ -329,11 +333,12 @@ def _epoch(
         for batch in batches:
             block = block_columns(batch)
             y, weight = bare.rows(block)
+            x = bare.view(block["features"])
             used = np.nonzero(weight)[0]
             for start in range(0, len(used), how.batch_size):
                 part = used[start : start + how.batch_size]
                 total = weight[part].sum()
-                loss, slope = bare.family.loss_and_gradient(block["features"][part], y[part], weight[part], point)
+                loss, slope = bare.family.loss_and_gradient(x[part], y[part], weight[part], point)
                 slope = (slope + bare.l2 * mask * point) / total + how.decay * mask * point
                 speed = how.momentum * speed - eta * slope
                 point = point + speed

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtab.models.linear import LinearScore, kernel_map, linear_svc, polynomial_features
+from loomtab.models.linear import LinearScore, kernel_map, polynomial_features
 from loomtab.models.neighbors import Neighbors
 from loomtab.models.simple import GaussianBayes, LinearDiscriminant, QuadraticDiscriminant
 from loomtab.models.trees import (
@@ -78,13 +78,13 @@ def mapped_fit(mapping: Callable[[DataFrame], DataFrame], estimator: Estimator)
     return lambda df: Mapped(estimator.fit(mapping(df)))
 
 
-def classifier_entries(rows: int, key: str, label: str = "y", vector: str = "vector", boosting_rounds: int = 50) -> list[Entry]:
+def classifier_entries(key: str, label: str = "y", vector: str = "vector", boosting_rounds: int = 50) -> list[Entry]:
     """The nine compared classifiers with their settings; frames need 'features' and an ML vector column."""
     # Names and settings of the comparison.
     ml = {"featuresCol": vector, "labelCol": label}
     return [
         Entry("Nearest Neighbors", Neighbors(keyCol=key, labelCol=label, k=3)),
-        Entry("Linear SVM", linear_svc(rows, 0.025, **ml)),
+        Entry("Linear SVM", LinearScore(labelCol=label, loss="squared_hinge", C=0.025)),
         Entry("RBF SVM", mapped_fit(lambda df: kernel_map(df, "rbf", gamma=2.0, components=100), LinearScore(labelCol=label, loss="squared_hinge", C=1.0))),
         Entry("Decision Tree", decision_tree("classify", 5, **ml)),
         Entry("Random Forest", random_forest("classify", 10, 5, "1", **ml)),

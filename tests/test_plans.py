@@ -7,15 +7,16 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
+from loomtab.models.linear import LinearScore
 from loomtab.models.simple import GaussianBayes, LinearDiscriminant, MajorityClass, NearestCentroid
 from loomtab.operators import metrics, ranking
 from loomtab.operators.prepare import as_vector
 from loomtab.operators.splits import split, stratified_kfold
 from loomtab.plans import grids
 from loomtab.plans.evaluators import TableEvaluator
-from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features
-from loomtab.plans.leaderboard import Entry, leaderboard, winner
-from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, ranked, refit, results_table, shared_search
+from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features, searched_forecasts
+from loomtab.plans.leaderboard import Entry, classifier_entries, leaderboard, regressor_entries, winner
+from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, kernel_search, ranked, refit, results_table, shared_search
 from loomtab.plans.surface import mesh, mesh_over, score_mesh
 from loomtab.session import scratch_path, shared_folder
 from loomtab.sources import generators, sinks, tables
@@ -90,6 +91,17 @@ def _array(name):
     return vector_to_array(name)
 
 
+def test_kernel_search_groups_maps_and_reports_failures(spark, moons):
+    grid = [{"kernel": ["linear", "poly"], "C": [1.0, 10.0], "degree": [2]}, {"kernel": ["sigmoid"], "C": [1.0]}]
+    candidates = grids.param_list(grids.grid_table(spark, "margin", grid))
+    rows = kernel_search(moons, candidates, "y", folds=5)
+    assert rows.filter("error is null").groupBy("candidate").count().count() == 4
+    bad = rows.filter("error is not null").collect()
+    assert [r["candidate"] for r in bad] == [4] and "sigmoid" in bad[0]["error"]
+    plain = shared_search(moons, [(9, "margin", {"C": "10.0"})], "y").agg(F.avg("score")).first()[0]
+    assert rows.filter("candidate = 1").agg(F.avg("score")).first()[0] == pytest.approx(plain)
+
+
 def test_results_table_counts_unknown_labels_as_misses(spark, moons):
     train, test = moons.filter("split = 'train'"), moons.filter("split = 'test'")
     strange = test.withColumn("y", F.lit(7))
@@ -196,6 +208,27 @@ def test_forecast_equals_least_squares_on_lags(series):
     ready.unpersist()
 
 
+def test_searched_forecasts_pick_the_better_regressor(series):
+    frame, _ = series
+    columns = ["lag_1", "lag_2"]
+    ready = scaled_features(horizon_table(frame, "t", "v", {"short": 1, "long": 9}, lags=2), columns).persist()
+    entries = [Entry("line", LinearScore(labelCol="target", loss="squared", C=1e6)), Entry("stump", LinearScore(labelCol="target", loss="squared", C=1e-6))]
+    out = searched_forecasts(ready, "t", entries)
+    assert out["search"].count() == 4
+    assert {r["candidate"] for r in out["metrics"].collect()} == {"line"}
+    plain = {r["horizon"]: r["last"] for r in linear_forecasts(ready, "t", strength=1e-6)["forecast"].collect()}
+    found = {r["horizon"]: r["last"] for r in out["forecast"].collect()}
+    assert found == pytest.approx(plain, abs=1e-3)
+    ready.unpersist()
+
+
+def test_comparison_lists_have_every_setting():
+    names = [e.name for e in classifier_entries("key")]
+    assert len(names) == 9 and len(set(names)) == 9
+    names = [e.name for e in regressor_entries("key", "y")]
+    assert len(names) == len(set(names)) == 24
+
+
 def test_scratch_follows_the_session_setting(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == folder.rstrip("/")

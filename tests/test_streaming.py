@@ -4,10 +4,12 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from loomtab.models.mlp import MlpClassifier, partial_fit
 from loomtab.models.simple import GaussianBayes
+from loomtab.operators.prepare import TablePrep
 from loomtab.sources import generators
 from loomtab.streaming.learning import learn_stream, model_before, stored_weights
 from loomtab.streaming.scoring import score_stream
@@ -34,6 +36,16 @@ def test_stream_scores_equal_batch_scores(spark, arriving, tmp_path):
     assert spark.read.parquet(out).count() == 300
 
 
+def test_stream_through_a_fitted_pipeline(spark, arriving, tmp_path):
+    rows, stream = arriving
+    prep = TablePrep(keyCols=["key", "y"], scale="standard")
+    model = Pipeline(stages=[prep, GaussianBayes()]).fit(rows.select("key", "x1", "x2", "y"))
+    out = str(tmp_path / "out")
+    score_stream(model, stream.select("key", "x1", "x2", "y"), out, str(tmp_path / "state"), ["key"]).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == sorted(tuple(r) for r in model.transform(rows).select("key", "prediction").collect())
+
+
 def test_stream_learning_equals_successive_steps(spark, arriving, tmp_path):
     rows, stream = arriving
     folder, state = str(tmp_path / "weights"), str(tmp_path / "state")

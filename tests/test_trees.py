@@ -44,6 +44,14 @@ def test_adaboost_keeps_input_columns(moons):
     assert model.transform(moons).columns == [*moons.columns, "prediction"]
 
 
+def test_a_shorter_ensemble_is_a_prefix(moons):
+    train, test = sides(moons)
+    long = trees.adaboost_classifier(train, label="name", rounds=4)
+    short = trees.adaboost_classifier(train, label="name", rounds=2)
+    one, two = (m.transform(test).select("key", "prediction").collect() for m in (trees.first_rounds(long, 2), short))
+    assert sorted(one) == sorted(two)
+
+
 @pytest.mark.parametrize("loss", ["linear", "square", "exponential"])
 def test_adaboost_regressor(curve, loss):
     train, test = sides(curve)
