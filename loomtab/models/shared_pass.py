@@ -26,6 +26,7 @@ Family = Linear | Network
 MEMORY = 10
 NEWTON_SIZE = 256  # largest parameter vector whose curvature matrix is summed
 SWEEPS = 50
+ROWS_PER_TASK = 20000
 
 
 @dataclass
@@ -82,7 +83,15 @@ def training_table(df: DataFrame, features: str, label: str, fold: str | None =
     ]
     if key:
         columns.append(F.col(key).alias("key"))
-    return df.filter(F.col(label).isNotNull()).select(*columns).persist()
+    table = df.filter(F.col(label).isNotNull()).select(*columns).persist()
+    # Every pass starts one task per partition, so a table spread too thin is packed once.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS_PER_TASK))
+    if tasks >= table.rdd.getNumPartitions():
+        return table
+    packed = table.coalesce(tasks).persist()
+    packed.count()
+    table.unpersist()
+    return packed
 
 
 def _stepper(theta: np.ndarray, max_iter: int, tol: float) -> Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], np.ndarray]:
