@@ -88,3 +88,14 @@ def blob_sizes(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Fixed-width values byte by byte: the high bytes of small numbers become long runs that compress away."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(dtype).ravel() for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, dtype)
