@@ -99,3 +99,23 @@ def from_planes(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(dtype).ravel() for x in column.to_pylist()]
     return np.concatenate(parts) if parts else np.empty(0, dtype)
+
+
+def of_cell(key: str, text: str, cells: int) -> Column:
+    """The cell of a document, a function of its id; rows without an id are spread by their text. ``cells`` is odd."""
+    spread = F.col(key).bitwiseXOR(F.shiftright(key, 15)).bitwiseXOR(F.shiftright(key, 31))
+    return F.pmod(F.coalesce(spread, F.xxhash64(text)), F.lit(cells)).cast("int")
+
+
+def cell_of(ids: np.ndarray, cells: int) -> np.ndarray:
+    """``of_cell`` of signed 64-bit ids."""
+    return (ids ^ (ids >> 15) ^ (ids >> 31)) % cells
+
+
+def runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows begins."""
+    fresh = np.zeros(len(sorted_columns[0]), bool)
+    fresh[:1] = True
+    for column in sorted_columns:
+        fresh[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(fresh)

@@ -181,7 +181,7 @@ merged as (
   select doc_id, template, label, base, k, size, span, flatten(list(places)) as places, min(diagonal + p0) as start
   from spans group by doc_id, template, label, base, k, size, span),
 covered as (
-  select *, round(len(list_distinct(flatten(list_transform(places, p -> range(p, p + k))))) / size, 6) as coverage from merged),
+  select *, round(len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + k))))) / size, 6) as coverage from merged),
 found as (select *, coverage >= case when base then 1.0 else {cover} end as found from covered)
 select d.doc_id, len(any_value(d.w))::bigint as n_words, count(*) filter (where found and base) as n_base,
        min(start) filter (where found and base) as first_word, max(start) filter (where found and base) as last_word,
