@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 SLICE = 4 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -113,9 +114,10 @@ def run_hashes(texts: Texts, start: np.ndarray, end: np.ndarray, lower: bool = T
     value = np.full(len(start), (seed * 2 + 1) * 0x51ED270B % (1 << 64), np.uint64)
     multiplier = _MULTIPLIER + np.uint64(2 * seed)
     k = int((size > LONG_WORD).sum())
-    for i in range(k):  # a long run in one go
-        part = table[texts.data[begin[i] : begin[i] + size[i]]]
-        value[i] = np.uint64(size[i]) + _chain(part, multiplier)
+    if k:  # long runs one by one
+        data = texts.data.tobytes()
+        data = data.lower() if lower else data  # of bytes: A-Z alone
+        value[:k] = [xxh3_64_intdigest(data[a:b], seed) for a, b in zip(begin[:k].tolist(), (begin[:k] + size[:k]).tolist())]
     rest, at = value[k:], begin[k:]
     longer = len(rest) - np.cumsum(np.bincount(size[k:], minlength=1))  # how many are longer than j
     for j in range(len(longer) - 1):
@@ -126,17 +128,6 @@ def run_hashes(texts: Texts, start: np.ndarray, end: np.ndarray, lower: bool = T
     return mixed(out, seed)
 
 
-def _chain(part: np.ndarray, multiplier: np.uint64) -> np.uint64:
-    """Polynomial hash of one long run, by blocks."""
-    total, block = np.uint64(0), 4096
-    powers = np.cumprod(np.full(block, multiplier, np.uint64), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(part), block):
-            piece = part[at : at + block]
-            total = total * powers[len(piece) - 1] + (piece * powers[: len(piece)][::-1]).sum(dtype=np.uint64)
-    return total
-
-
 def word_hashes(texts: Texts, words: Words, lower: bool = True, seed: int = 0) -> np.ndarray:
     return run_hashes(texts, words.start, words.end, lower, seed)
 
