@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from xxhash import xxh3_64_intdigest
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
