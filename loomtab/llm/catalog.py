@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "line_dedup", "curriculum", "chat_windows", "license_scan", "substring_dedup", "parity_join", "lm_scoring")
+MODULES = ("quality_rules", "line_dedup", "curriculum", "chat_windows", "license_scan", "substring_dedup", "parity_join", "lm_scoring", "line_crf")
 
 
 def load_catalog():
