@@ -1,15 +1,20 @@
-"""All queries of this subpackage and their SQL."""
+"""All queries of this subpackage, the pipeline among them, and their SQL."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "line_dedup", "curriculum", "chat_windows", "license_scan", "substring_dedup", "parity_join", "lm_scoring", "line_crf")
+MODULES = (
+    "license_scan", "parity_join", "string_tiling", "line_dedup", "line_crf", "chat_windows", "lm_scoring", "substring_dedup", "curriculum",
+    "quality_rules",
+)
 
 
 def load_catalog():
     for name in MODULES:
         import_module(f"loomtab.llm.{name}")
+    pipeline = import_module("corpus_pipeline")
     from loomtab.llm.common import ORACLES, QUERIES
 
-    return dict(QUERIES), dict(ORACLES)
+    sql = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
+    return {**QUERIES, "pipeline": pipeline.run}, ORACLES | sql

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from loomtab.llm.common import crc_mod, documents, joined, query, record, texts
 from loomtab.llm.wordblocks import SPACED, Texts, code_points_before, lines_of, run_hashes, slices, word_hashes, words_of
@@ -155,39 +156,43 @@ def training_lines(docs: DataFrame, labels: DataFrame, max_docs: int, held_out:
     return own, np.repeat(np.arange(len(got)), sizes), np.repeat((got["y"].to_numpy() > 0).astype(np.int64), sizes)
 
 
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_lines long"
+def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, held_out: int = 0, by: int = 5) -> Chain:
+    """The chain learned from at most ``max_docs`` labelled documents whose crc32 of the id mod ``by`` is not ``held_out``."""
+    return fit_chain(*training_lines(texts(docs), labels, max_docs, held_out, by))
+
+
+def with_quality(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """``docs`` with ``__score`` in [0, 1], the length-weighted mean of its lines' good marginals, and ``__lines``."""
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, body in slices(batch, text):
+                own, owner, length = line_features(body)
+                good, _ = chain.marginals(with_neighbours(own, owner) @ chain.weights, owner)
+                weight, n = length + 1.0, len(part)
+                score = np.bincount(owner, good * weight, n) / np.bincount(owner, weight, n)
+                more = [pa.array(np.clip(np.round(score, 9), 0.0, 1.0)), pa.array(np.bincount(owner, minlength=n))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "__score", "__lines"])
+
+    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType()), StructField("__lines", LongType())])
+    return docs.mapInArrow(judge, schema)
 
 
 def line_quality(
     docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, held_out: int = 0, by: int = 5, threshold: float = 0.3,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: score in [0, 1], the length-weighted mean of its lines' good marginals.
+    """One row per row of ``docs``: doc_id, held_out, score, predicted (score >= ``threshold``), n_lines.
 
-    Learns from at most ``max_docs`` labelled documents whose crc32 of the id mod ``by`` is not ``held_out``; only the
-    text is scored. A null or empty text is one empty line. Rows without an id are scored and not held out; repeated rows
-    score alike; an empty table gives an empty one; without labels every line scores one half.
+    Only the text is scored. A null or empty text is one empty line. Rows without an id are scored and not held out;
+    repeated rows score alike; an empty table gives an empty one; without labels every line scores one half.
     """
     rows = texts(docs, key, text)
-    chain = fit_chain(*training_lines(rows, labels, max_docs, held_out, by))
-
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_lines", pa.int64())])
-        for batch in batches:
-            for part, body in slices(batch):
-                own, owner, length = line_features(body)
-                good, _ = chain.marginals(with_neighbours(own, owner) @ chain.weights, owner)
-                weight = length + 1.0
-                n = len(part)
-                score = np.bincount(owner, good * weight, n) / np.bincount(owner, weight, n)
-                score = np.clip(np.round(score, 9), 0.0, 1.0)
-                held = part.column("held").fill_null(False)
-                yield record(
-                    schema, doc_id=part.column("doc_id"), held_out=held, score=score, predicted=(score >= threshold).astype(np.int32),
-                    n_lines=np.bincount(owner, minlength=n),
-                )
-
-    return rows.withColumn("held", crc_mod("doc_id", by) == held_out).mapInArrow(judge, SCHEMA)
+    scored = with_quality(rows, fit_quality(rows, labels, max_docs, held_out, by))
+    return scored.select(
+        "doc_id", F.coalesce(crc_mod("doc_id", by) == held_out, F.lit(False)).alias("held_out"), F.col("__score").alias("score"),
+        (F.col("__score") >= threshold).cast("int").alias("predicted"), F.col("__lines").alias("n_lines"),
+    )
 
 
 @query()

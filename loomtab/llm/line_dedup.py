@@ -8,13 +8,13 @@ counted exactly by their whole key, so the size of the filters changes the volum
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from loomtab.llm.common import documents, joined, query, record, texts
 from loomtab.llm.wordblocks import SPACED, Texts, code_points_before, lines_of, mixed, run_hashes, signed, slices, unsigned
@@ -122,47 +122,46 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits:
     return lost.groupBy("doc_id").agg(F.collect_set("line").alias("drops"))
 
 
-SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
-
-
-def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its lines, how many it loses, the text of the others.
-
-    A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at least ``min_chars`` code
-    points in at least ``min_docs`` documents lose their lines in all documents but the one of largest key; that one
-    keeps all of them. A null or empty text is one empty line. Rows of one doc_id are one document; rows without a
-    doc_id count for no key but lose the lines that others confirm. An empty table gives an empty table.
-    """
-    rows = texts(docs, key, text)
-    lost = dropped_lines(rows, min_docs, min_chars, bits).withColumnRenamed("doc_id", "of")
+def with_kept_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``__kept`` (the text of the lines that stay), ``__lines`` and ``__dropped``."""
+    lost = dropped_lines(texts(docs, key, text), min_docs, min_chars, bits).select(F.col("doc_id").alias("__of"), F.col("drops").alias("__drops"))
 
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())]
-        )
         for batch in batches:
-            for part, body in slices(batch):
+            for part, body in slices(batch, text):
                 start, end, owner, able, _, _, hashes = line_keys(body, min_chars)
-                drops = part.column("drops")
+                drops, n = part.column("__drops"), len(part)
                 sizes = drops.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                banned = mixed(unsigned(drops.flatten().to_numpy(zero_copy_only=False).astype(np.int64))) ^ mixed(np.repeat(np.arange(len(part)), sizes).astype(np.uint64), 9)
+                banned = mixed(unsigned(drops.flatten().to_numpy(zero_copy_only=False))) ^ mixed(np.repeat(np.arange(n), sizes).astype(np.uint64), 9)
                 gone = able & np.isin(mixed(hashes) ^ mixed(owner.astype(np.uint64), 9), banned)
-                lines = np.bincount(owner, minlength=len(part))
-                n_gone = np.bincount(owner[gone], minlength=len(part))
+                lines, n_gone = np.bincount(owner, minlength=n), np.bincount(owner[gone], minlength=n)
                 first = np.concatenate([[0], np.cumsum(lines)])
                 kept = []
-                for i in range(len(part)):
+                for i in range(n):
                     if n_gone[i]:
-                        keep = [body.data[start[j] : end[j]].tobytes() for j in range(first[i], first[i + 1]) if not gone[j]]
-                        kept.append(b"\n".join(keep))
+                        kept.append(b"\n".join(body.data[start[j] : end[j]].tobytes() for j in range(first[i], first[i + 1]) if not gone[j]))
                     else:
                         kept.append(body.text(i))
-                yield record(
-                    schema, doc_id=part.column("doc_id"), n_lines=lines, n_dropped=n_gone,
-                    kept_text=[x.decode() for x in kept], kept_sha256=[hashlib.sha256(x).hexdigest() for x in kept],
-                )
+                more = [pa.array([x.decode() for x in kept], pa.string()), pa.array(lines), pa.array(n_gone)]
+                names = [x for x in part.schema.names if x != "__drops"]
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *more], [*names, "__kept", "__lines", "__dropped"])
 
-    return rows.join(lost, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "drops").mapInArrow(rewrite, SCHEMA)
+    met = docs.join(lost, F.col(key).eqNullSafe(F.col("__of")), "left").drop("__of")
+    added = [StructField("__kept", StringType()), StructField("__lines", LongType()), StructField("__dropped", LongType())]
+    return met.mapInArrow(rewrite, StructType([*docs.schema.fields, *added]))
+
+
+def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_text and its sha256.
+
+    A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at least ``min_chars`` code
+    points in at least ``min_docs`` documents lose their lines in all documents but the one of largest key; that one
+    keeps all of them. A null or empty text is one empty line. Rows of one doc_id are one document; rows without a
+    doc_id count for no key but lose the lines that others confirm. An empty table gives an empty table.
+    """
+    rows = with_kept_lines(texts(docs, key, text), min_docs, min_chars, bits)
+    digest = F.sha2(F.col("__kept"), 256).alias("kept_sha256")
+    return rows.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__kept").alias("kept_text"), digest)
 
 
 _SQL = r"""
