@@ -32,7 +32,9 @@ COUNTERS = 20
 BAND = 16
 FIRST_BAND = 64
 SMALL_BUCKET = 8
-BLOCK = 2048
+BLOCK = 1024
+DENSE = 16
+COLUMNS = 2048
 FLUSH = 1 << 20
 
 
@@ -257,9 +259,8 @@ def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.drop("a", "b").mapInArrow(bound, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts have 100 * |A & B| >= percent * |A | B|. Packed texts of paired documents travel."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+def packed_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(w, body): compressed texts of the documents w, and of the few that share a place in the bit map."""
     bits = 1 << 24
 
     def pack(table: pa.Table) -> pa.Table:
@@ -288,7 +289,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     known = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("spot"))
     bodies = known.mapInArrow(squeeze, "w long, body binary").groupBy("w").agg(F.first("body").alias("body"))
-    bodies = stored(bodies, "bodies")
+    return stored(bodies, "bodies")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts have 100 * |A & B| >= percent * |A | B|. Packed texts of paired documents travel."""
+    bodies = packed_texts(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), docs)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -314,9 +320,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def open_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of representatives of large buckets that are not in one component yet and whose sketches allow a link.
+    """(a, b, block): pairs of representatives of large buckets, in no common component yet, whose sketches allow a link.
 
-    Members of a bucket are cut into blocks; a task holds two blocks, so no bucket has to fit one.
+    Members of a bucket are cut into blocks; a task holds two blocks, so no bucket has to fit one. Where sketches leave
+    more than ``DENSE`` pairs a member, the members of the two blocks are given instead (b null), to be compared whole.
     """
     reps = members.join(classes.select(F.col("doc_id").alias("a"), "rep"), "a").select("key", F.col("rep").alias("a")).distinct()
     at = reps.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
@@ -339,11 +346,13 @@ def open_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, percent
         sketch = table["sketch"].to_pylist()
         first = runs(key, lo, hi)
         out: set[tuple[int, int]] = set()
+        whole: list[tuple[np.ndarray, int]] = []
         for start, end in zip(first, np.append(first[1:], len(key))):
             width = np.array([len(s) // 8 for s in sketch[start:end]])
             at_width = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
             rows_of = {w: np.frombuffer(b"".join(sketch[start + i] for i in at), np.uint64).reshape(-1, w) for w, at in at_width.items()}
             folded = {w: m[:, : w // 2] ^ m[:, w // 2 :] for w, m in rows_of.items() if w > 1}
+            here: set[tuple[int, int]] = set()
             for i in range(end - start):
                 own = rows_of[width[i]][np.searchsorted(at_width[width[i]], i)]
                 for w, at in at_width.items():  # sizes within the ratio have sketches at most twice as long
@@ -361,11 +370,59 @@ def open_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, percent
                     fit &= 100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])
                     j, y = j[fit], y[fit]
                     near = np.bitwise_count(theirs[j] ^ mine).sum(axis=1, dtype=np.int64) <= most_apart(n[y], n[x], percent)
-                    out.update((min(int(doc[x]), d), max(int(doc[x]), d)) for d in doc[y[near]].tolist())
+                    here.update((min(int(doc[x]), d), max(int(doc[x]), d)) for d in doc[y[near]].tolist())
+            if len(here) > DENSE * (end - start):
+                whole.append((doc[start:end], int(mixed(np.array([key[start], lo[start], hi[start]]).view(np.uint64)).sum() >> np.uint64(1))))
+            else:
+                out |= here
         pairs = sorted(out)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        members = np.concatenate([d for d, _ in whole]) if whole else np.empty(0, np.int64)
+        blocks = np.repeat([x for _, x in whole], [len(d) for d, _ in whole]).astype(np.int64)
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.table(
+            {
+                "a": pa.chunked_array([pa.array([p[0] for p in pairs], pa.int64()), pa.array(members, pa.int64())]),
+                "b": pa.chunked_array([pa.array([p[1] for p in pairs], pa.int64()), pa.nulls(len(members), pa.int64())]),
+                "block": pa.chunked_array([none, pa.array(blocks, pa.int64())]),
+            }
+        )
+
+    return dealt.groupBy("cell").applyInArrow(compare, "a long, b long, block long").distinct()
+
 
-    return dealt.groupBy("cell").applyInArrow(compare, "a long, b long").distinct()
+def dense_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links within blocks (a, block) of near documents, as edges to the smallest document each reaches in its block.
+
+    Common shingles of all pairs of a block are counted at once by products of 0/1 matrices; pairs are never given out.
+    """
+    bodies = packed_texts(members.select(F.col("a").alias("w")).distinct(), docs)
+
+    def link(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+        table = table.sort_by("a")
+        doc = table["a"].to_numpy()
+        owner, value, size = shingles(texts_of(pa.array([expand(x).decode() for x in table["body"].to_pylist()], pa.large_string())), k)
+        _, column, times = np.unique(value, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+        common = np.zeros((len(doc), len(doc)), np.float32)
+        for at in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+            here = (column >= at) & (column < at + COLUMNS)
+            part = np.zeros((len(doc), COLUMNS), np.float32)
+            part[owner[here], column[here] - at] = 1
+            common += part @ part.T
+        near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        reach, before = np.arange(len(doc)), None
+        while before is None or (reach != before).any():
+            before = reach
+            reach = np.minimum(reach, np.where(near, reach[None, :], len(doc)).min(axis=1))
+        tied = reach != np.arange(len(doc))
+        return pa.table({"u": doc[tied], "v": doc[reach[tied]]})
+
+    met = members.join(bodies, F.col("a") == F.col("w")).select("block", "a", "body")
+    return met.groupBy("block").applyInArrow(link, "u long, v long")
 
 
 def parity_join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -388,9 +445,10 @@ def parity_join(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_
     copies = classes.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     links = stored(verified(pairs, rows, k, percent), "links")
     found = components(links.unionByName(copies))
-    more = stored(open_pairs(met.filter("b is null").select("a", "key"), classes, found, percent).join(pairs, ["a", "b"], "left_anti"), "open")
-    if not more.isEmpty():
-        late = verified(more, rows, k, percent)
+    still = stored(open_pairs(met.filter("b is null").select("a", "key"), classes, found, percent), "open")
+    if not still.isEmpty():
+        pairs = still.filter("b is not null").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        late = verified(pairs, rows, k, percent).unionByName(dense_links(still.filter("b is null").select("a", "block"), rows, k, percent))
         found = components(late.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     out = known.join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
