@@ -371,6 +371,8 @@ def open_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, percent
                     j, y = j[fit], y[fit]
                     near = np.bitwise_count(theirs[j] ^ mine).sum(axis=1, dtype=np.int64) <= most_apart(n[y], n[x], percent)
                     here.update((min(int(doc[x]), d), max(int(doc[x]), d)) for d in doc[y[near]].tolist())
+                if len(here) > DENSE * (end - start):
+                    break  # the block is compared whole
             if len(here) > DENSE * (end - start):
                 whole.append((doc[start:end], int(mixed(np.array([key[start], lo[start], hi[start]]).view(np.uint64)).sum() >> np.uint64(1))))
             else:
