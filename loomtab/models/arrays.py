@@ -19,6 +19,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if len(array) == 0:
         return np.empty((0, 0))
+    widths = array.value_lengths().to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(~(widths == widths[0]))  # a null row has no width and equals nothing
+    if array.null_count or len(odd):
+        raise ValueError(f"row {0 if array.null_count and not len(odd) else odd[0]} of the batch has a missing vector or one of another width")
     return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1)
 
 

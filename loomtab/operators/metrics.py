@@ -134,12 +134,14 @@ def binary_from(cells: DataFrame, positive: object, by: Sequence[str] = ()) -> D
 
 
 def accuracy(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    hit = (F.col(truth) == F.col(prediction)).cast("double")
+    """Share of rows with a truth whose prediction equals it; a missing prediction is a miss."""
+    hit = F.when(F.col(truth).isNotNull(), F.coalesce(F.col(truth) == F.col(prediction), F.lit(False)).cast("double"))
     return df.groupBy(*by).agg(F.avg(hit).alias("accuracy"))
 
 
 def percent_error(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    miss = (F.col(truth) != F.col(prediction)).cast("double")
+    """Percentage of rows with a truth whose prediction does not equal it; a missing prediction is a miss."""
+    miss = F.when(F.col(truth).isNotNull(), F.coalesce(F.col(truth) != F.col(prediction), F.lit(True)).cast("double"))
     return df.groupBy(*by).agg((100.0 * F.avg(miss)).alias("percent_error"))
 
 
@@ -181,9 +183,9 @@ def average_precision(df: DataFrame, truth: str, score: str, by: Sequence[str] =
 
 
 def regression(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    """r2, explained variance, MAE and MSE in one pass."""
-    y = F.col(truth).cast("double")
-    miss = y - F.col(prediction).cast("double")
+    """r2, explained variance, MAE and MSE in one pass, all over the rows with a truth and a prediction."""
+    miss = F.col(truth).cast("double") - F.col(prediction).cast("double")
+    y = F.when(miss.isNotNull(), F.col(truth).cast("double"))
     square = F.avg(miss * miss)
     return df.groupBy(*by).agg(
         (1.0 - F.try_divide(square, F.var_pop(y))).alias("r2"),

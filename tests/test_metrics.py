@@ -121,3 +121,11 @@ def test_order_of_rows_does_not_matter(spark):
     one = metrics.summary(rows, "y", "p").first().asDict()
     other = metrics.summary(rows.repartition(7).orderBy(F.rand(1)), "y", "p").first().asDict()
     assert one == pytest.approx(other)
+
+
+def test_missing_predictions_are_misses_and_no_part_of_regression(spark):
+    frame = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (100.0, None), (-100.0, None)], "y double, p double")
+    assert metrics.accuracy(frame, "y", "p").first()["accuracy"] == 0.5
+    assert metrics.percent_error(frame, "y", "p").first()["percent_error"] == 50.0
+    row = metrics.regression(frame.union(spark.createDataFrame([(4.0, 3.0)], "y double, p double")), "y", "p").first()
+    assert abs(row["mse"] - 1 / 3) < 1e-12 and abs(row["r2"] - (1 - (1 / 3) / (14 / 9))) < 1e-12
