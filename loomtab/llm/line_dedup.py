@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from loomtab.llm.common import documents, joined, query, record, texts
+from loomtab.llm.common import documents, few_rows, joined, query, record, texts
 from loomtab.llm.wordblocks import SPACED, Texts, code_points_before, lines_of, mixed, run_hashes, signed, slices, unsigned
 
 BITS = 1 << 26
@@ -84,7 +84,7 @@ def twice_seen(docs: DataFrame, bits: int = BITS, min_chars: int = 20) -> np.nda
     parts = docs.mapInArrow(lambda b: _once_twice(b, bits, min_chars), "slice int, once binary, twice binary")
     merged = parts.groupBy("slice").applyInArrow(merge, "slice int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in few_rows(merged):
         at = row["slice"] * (SLICE_BITS // 8)
         out[at : at + SLICE_BITS // 8] = np.frombuffer(row["twice"], np.uint8)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtab.llm.common import (
-    cell_bounds, cells_for, documents, from_planes, joined, planes, query, record, runs, stored, text_bytes, texts,
+    cell_bounds, cells_for, documents, few_rows, from_planes, joined, planes, query, record, runs, stored, text_bytes, texts,
 )
 from loomtab.llm.components import components
 from loomtab.llm.wordblocks import Texts, mixed, signed, slices, texts_of, unsigned, windows, word_hashes, words_of
@@ -112,7 +112,7 @@ def frequent_map(docs: DataFrame, k: int, bits: int = COUNTERS) -> np.ndarray:
 
     parts = docs.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
     total = np.zeros(1 << bits, np.int64)
-    for row in parts.toLocalIterator():
+    for row in few_rows(parts):
         total[row["part"] << 14 : (row["part"] + 1) << 14] = from_planes(pa.array([row["counts"]]), np.int64)
     mean = total.mean()
     return total > mean + 64 + 6 * np.sqrt(mean)
@@ -271,7 +271,7 @@ def packed_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     spot = F.pmod(F.xxhash64("w"), F.lit(bits))
     places = wanted.select((spot / (1 << 14)).cast("int").alias("part"), (spot % (1 << 14)).cast("int").alias("place")).distinct()
     there = np.zeros(bits // 8, np.uint8)
-    for row in places.groupBy("part").applyInArrow(pack, "part int, map binary").toLocalIterator():
+    for row in few_rows(places.groupBy("part").applyInArrow(pack, "part int, map binary")):
         there[row["part"] << 11 : (row["part"] + 1) << 11] = np.frombuffer(row["map"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(there.tobytes())  # 2 MB; a full map only lets more texts travel
 

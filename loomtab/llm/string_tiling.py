@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from loomtab.llm.common import documents, query, record, stored
+from loomtab.llm.common import documents, few_rows, query, record, stored
 from loomtab.llm.wordblocks import ALNUM, signed, slices, texts_of, windows, word_hashes, words_of
 from loomtab.session import load
 
@@ -107,7 +107,7 @@ def _seed_map(seeds: DataFrame) -> bytes:
     spot = F.shiftrightunsigned("seed", 64 - MAP_BITS)
     places = seeds.select(F.shiftright(spot, 14).cast("int").alias("part"), (spot % (1 << 14)).cast("int").alias("place")).distinct()
     out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for row in places.groupBy("part").applyInArrow(pack, "part int, map binary").toLocalIterator():
+    for row in few_rows(places.groupBy("part").applyInArrow(pack, "part int, map binary")):
         out[row["part"] << 11 : (row["part"] + 1) << 11] = np.frombuffer(row["map"], np.uint8)
     return out.tobytes()
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtab.llm.common import (
-    cell_bounds, cell_of, cells_for, dealt, documents, from_planes, joined, of_cell, planes, query, record, runs, text_bytes, texts,
+    cell_bounds, cell_of, cells_for, dealt, documents, few_rows, from_planes, joined, of_cell, planes, query, record, runs, text_bytes, texts,
 )
 from loomtab.llm.wordblocks import Texts, Words, mixed, run_hashes, slices, unsigned, windows, word_hashes, words_of
 
@@ -98,7 +98,7 @@ def shared_map(docs: DataFrame, length: int, cells: int, bits: int = MAP_BITS) -
     rows = docs.mapInArrow(lambda b: _anchor_rows(b, length, cells), "cell int, low binary, many binary")
     merged = rows.groupBy("cell").applyInArrow(merge, "part int, places binary")
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in merged.groupBy("part").applyInArrow(pack, "part int, map binary").toLocalIterator():
+    for row in few_rows(merged.groupBy("part").applyInArrow(pack, "part int, map binary")):
         out[row["part"] << 13 : (row["part"] + 1) << 13] = np.frombuffer(row["map"], np.uint8)
     return out
 
