@@ -29,13 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     Links grow towards stars: rounds grow with the logarithm of the longest chain, and each is checkpointed. A node's
     neighbours are only ever reduced by a partial minimum, so a node with most links is no hot group.
     """
-    now = checkpointed(edges.filter("u <> v").distinct())
-    before = None
-    while True:
+    def state(links: DataFrame):
+        return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+
+    now = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before, after = None, state(now)
+    while after != before:
         now = checkpointed(_small_star(_large_star(now)).filter("u <> v").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if state == before:
-            break
-        before = state
+        before, after = after, state(now)
     stars = now.groupBy("u").agg(F.min("v").alias("component"))
     return stars.select(F.col("u").alias("node"), "component").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
