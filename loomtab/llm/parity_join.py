@@ -33,7 +33,7 @@ BAND = 16
 FIRST_BAND = 64
 SMALL_BUCKET = 8
 BLOCK = 1024
-DENSE = 16
+DENSE = 1
 COLUMNS = 2048
 FLUSH = 1 << 20
 
@@ -323,7 +323,8 @@ def open_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, percent
     """(a, b, block): pairs of representatives of large buckets, in no common component yet, whose sketches allow a link.
 
     Members of a bucket are cut into blocks; a task holds two blocks, so no bucket has to fit one. Where sketches leave
-    more than ``DENSE`` pairs a member, the members of the two blocks are given instead (b null), to be compared whole.
+    more than ``DENSE`` pairs a member, the members of the two blocks are given instead (b null), to be compared whole:
+    no more rows leave than came in. A block is named by its members, so buckets of the same documents are compared once.
     """
     reps = members.join(classes.select(F.col("doc_id").alias("a"), "rep"), "a").select("key", F.col("rep").alias("a")).distinct()
     at = reps.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
@@ -374,7 +375,7 @@ def open_pairs(members: DataFrame, classes: DataFrame, found: DataFrame, percent
                 if len(here) > DENSE * (end - start):
                     break  # the block is compared whole
             if len(here) > DENSE * (end - start):
-                whole.append((doc[start:end], int(mixed(np.array([key[start], lo[start], hi[start]]).view(np.uint64)).sum() >> np.uint64(1))))
+                whole.append((doc[start:end], int(mixed(unsigned(doc[start:end]), 23).sum() >> np.uint64(1))))
             else:
                 out |= here
         pairs = sorted(out)
