@@ -20,7 +20,7 @@ from loomtab.functions.maths import arg_max, dot, doubles, logistic, softmax
 from loomtab.models.arrays import block_columns, matrix, rows_of, summed
 from loomtab.models.base import TableEstimator, TableModel, class_at, class_index, sorted_classes
 from loomtab.models.losses import Linear
-from loomtab.models.shared_pass import Problem, fit_all, training_table
+from loomtab.models.shared_pass import Problem, fit_all, sharded, training_table
 from loomtab.operators.aggregates import class_counts
 
 
@@ -231,10 +231,11 @@ class _PerceptronParams(Params):
     epochs = Param(Params._dummy(), "epochs", "passes", TypeConverters.toInt)
     balanced = Param(Params._dummy(), "balanced", "weight classes by inverse frequency", TypeConverters.toBoolean)
     l1Ratio = Param(Params._dummy(), "l1Ratio", "share of l1 in elasticnet", TypeConverters.toFloat)
+    shards = Param(Params._dummy(), "shards", "parts of the rows, by content, that are walked apart and averaged", TypeConverters.toInt)
 
 
 class Perceptron(TableEstimator, _PerceptronParams):
-    """Averaged perceptron: each task runs its rows in order, the tables of weights are averaged every epoch.
+    """Averaged perceptron: each of ``shards`` tasks runs its rows in order, the weights are averaged every epoch.
 
     One job per epoch (McDonald, Hall and Mann, NAACL 2010). Mistakes inside one Arrow
     sub-block are corrected together, so tasks stay vectorised.
@@ -245,27 +246,31 @@ class Perceptron(TableEstimator, _PerceptronParams):
 
     def _defaults(self) -> None:
         # Documented defaults of the perceptron.
-        self._setDefault(penalty="none", alpha=0.0001, eta0=1.0, epochs=5, balanced=False, l1Ratio=0.15)
+        self._setDefault(penalty="none", alpha=0.0001, eta0=1.0, epochs=5, balanced=False, l1Ratio=0.15, shards=8)
 
     def validate(self) -> None:
         if self._get("penalty") not in ("none", "l1", "l2", "elasticnet"):
             raise ValueError(f"penalty={self._get('penalty')!r} is not supported")
         if self._get("eta0") <= 0:
             raise ValueError(f"eta0={self._get('eta0')!r} must be > 0")
+        if self._get("shards") <= 0:
+            raise ValueError(f"shards={self._get('shards')!r} must be > 0")
 
     def learn(self, df: DataFrame) -> dict[str, Any]:
         classes = sorted_classes(df, self._get("labelCol"))
         table = training_table(
             df.withColumn("_target", class_index(F.col(self._get("labelCol")), classes)), self._get("featuresCol"), "_target"
         )
+        dealt = sharded(table, self._get("shards"))
         try:
             width = feature_count(table)
             weights = _balance(table, len(classes)) if self._get("balanced") else {}
             outputs = 1 if len(classes) == 2 else len(classes)
             rows = np.zeros((outputs, width + 1))
             for _ in range(self._get("epochs")):
-                rows = self._epoch(table, rows, weights)
+                rows = self._epoch(dealt, rows, weights)
         finally:
+            dealt.unpersist()
             table.unpersist()
         return {"loss": "perceptron", "classes": classes, "rows": rows.tolist()}
 

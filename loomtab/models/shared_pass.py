@@ -94,6 +94,17 @@ def training_table(df: DataFrame, features: str, label: str, fold: str | None =
     return packed
 
 
+def sharded(table: DataFrame, shards: int, salt: int = 0) -> DataFrame:
+    """The rows of a training table in ``shards`` partitions by their content, each in one order; cached.
+
+    What a walk over the shards learns depends on their number alone, not on how the table was laid out or on the
+    cluster. More shards mean more tasks and more models averaged. Equal rows share a shard. The caller unpersists it.
+    """
+    mark = F.xxhash64("features", "y", "fold", F.lit(salt)).alias("mark")
+    rows = table.select("features", "y", "fold", mark).repartition(shards, "mark")
+    return rows.sortWithinPartitions("mark", "y", "fold", "features").drop("mark").persist()
+
+
 def _stepper(theta: np.ndarray, max_iter: int, tol: float) -> Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], np.ndarray]:
     """Limited-memory quasi-Newton descent, orthant-wise where an L1 penalty applies.
 

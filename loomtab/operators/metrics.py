@@ -25,9 +25,19 @@ def confusion(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()
 
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, classes: Sequence[object]) -> DataFrame:
-    """Wide matrix: one row per true class, one column per predicted class, zeros filled."""
+    """Wide matrix: one row per true class, one column per predicted class, zeros filled.
+
+    Rows without a truth are left out; a truth or prediction that is not in ``classes`` (or missing) raises when the
+    matrix is read, so no row goes uncounted.
+    """
     spark = df.sparkSession
-    cells = confusion(df, truth, prediction).groupBy("y").pivot("p", list(classes)).agg(F.sum("n"))
+
+    def listed(name: str) -> Column:
+        odd = F.concat(F.lit(f"{name} is not in classes: "), F.coalesce(F.col(name).cast("string"), F.lit("NULL")))
+        return F.when(F.col(name).isin(list(classes)), F.col(name)).otherwise(F.raise_error(odd))
+
+    pairs = confusion(df, truth, prediction).filter(F.col("y").isNotNull())
+    cells = pairs.select(listed("y").alias("y"), listed("p").alias("p"), "n").groupBy("y").pivot("p", list(classes)).agg(F.sum("n"))
     rows = spark.createDataFrame([(c,) for c in classes], df.select(F.col(truth).alias("y")).schema)
     return rows.join(F.broadcast(cells), "y", "left").na.fill(0)
 

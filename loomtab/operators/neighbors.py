@@ -204,7 +204,7 @@ class Cells:
     rows: np.ndarray  # train rows per cell
     low: np.ndarray  # smallest distance to the pivot
     high: np.ndarray  # largest distance to the pivot
-    close: dict[int, list[tuple[int, np.ndarray]]]  # exclusion group -> (cell, smallest distances)
+    close: tuple[np.ndarray, np.ndarray, np.ndarray]  # cell, reach and exclusion group of the rows nearest to each pivot
     first_block: np.ndarray
     blocks: np.ndarray
 
@@ -233,28 +233,33 @@ def _describe(train: DataFrame, rule: Rule, pivot_count: int, block_rows: int) -
     rows, low, high = np.zeros(size, int), np.zeros(size), np.zeros(size)
     for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("lo"), F.max("reach").alias("hi")).collect():
         rows[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["lo"], r["hi"]
-    close: dict[int, list[tuple[int, np.ndarray]]] = {}
+    close = (np.empty(0, int), np.empty(0), np.empty(0, int))
     if rule.k:
-        # With key-wise exclusion at most one row drops out per query, so one more distance is kept.
-        by_group = rule.excluding and not _unique_exclusion(train)
-        group = F.col("exclude") if by_group else F.lit(-1).cast("bigint")
-        ranked = celled.select("cell", "reach", group.alias("kind"), "id").withColumn(
-            "rank", F.row_number().over(Window.partitionBy("cell", "kind").orderBy("reach", "id"))
-        )
-        kept = ranked.filter(F.col("rank") <= rule.k + (0 if by_group else 1))
-        for r in kept.groupBy("kind", "cell").agg(F.sort_array(F.collect_list("reach")).alias("near")).collect():
-            close.setdefault(r["kind"], []).append((r["cell"], np.array(r["near"])))
+        close = _close_rows(celled, rule)
     blocks = np.maximum(1, -(-rows // block_rows))
     return celled, Cells(pivots, rows, low, high, close, np.concatenate([[0], np.cumsum(blocks)[:-1]]), blocks)
 
 
-def _unique_exclusion(train: DataFrame, limit: int = 64) -> bool:
-    """Whether the exclusion column is the key itself; otherwise it must have few values (folds)."""
-    if train.filter(F.col("exclude") != F.col("id")).isEmpty():
-        return True
-    if train.select("exclude").distinct().limit(limit + 1).count() > limit:
-        raise ValueError(f"the exclusion column must be the key or have at most {limit} values")
-    return False
+def _close_rows(celled: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows nearest to each pivot, enough to bound a k-th distance whichever exclusion group a query leaves out.
+
+    With at most k rows of a group, a query loses at most k of them, so 2k rows a cell are enough for any number of groups.
+    """
+    group = F.coalesce("exclude", "id") if rule.excluding else F.col("id")
+    near = celled.select("cell", "reach", "id", group.alias("kind"))
+    if rule.excluding:
+        inner = Window.partitionBy("cell", "kind").orderBy("reach", "id")
+        near = near.withColumn("rank", F.row_number().over(inner)).filter(F.col("rank") <= rule.k).drop("rank")
+    count = 2 * rule.k if rule.excluding else rule.k
+    outer = Window.partitionBy("cell").orderBy("reach", "id")
+    kept = near.withColumn("rank", F.row_number().over(outer)).filter(F.col("rank") <= count)
+    parts = []
+    for r in kept.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("reach", "kind"))).alias("near")).collect():
+        reach, kind = (np.array([n[c] for n in r["near"]]) for c in ("reach", "kind"))
+        most = np.unique(kind, return_counts=True)[1].max() if rule.excluding else 0
+        use = rule.k + most
+        parts.append((np.full(len(reach[:use]), r["cell"]), reach[:use], kind[:use]))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, int), np.empty(0), np.empty(0, int))
 
 
 def _kth_bound(far: np.ndarray, exclude: np.ndarray, cells: Cells, rule: Rule) -> np.ndarray:
@@ -262,18 +267,16 @@ def _kth_bound(far: np.ndarray, exclude: np.ndarray, cells: Cells, rule: Rule) -
     if rule.radius:
         return np.full(len(far), rule.radius)
     out = np.full(len(far), np.inf)
-    single = -1 in cells.close
-    wanted = rule.k + 1 if single and rule.excluding else rule.k
-    for group in [0] if single else np.unique(exclude):
-        members = np.arange(len(far)) if single else np.nonzero(exclude == group)[0]
-        lists = cells.close[-1] if single else [c for g, cs in cells.close.items() if g != group for c in cs]
-        if sum(len(n) for _, n in lists) < wanted:
-            continue
-        step = max(1, TILE // sum(len(n) for _, n in lists))
-        for start in range(0, len(members), step):
-            part = members[start : start + step]
-            bounds = np.concatenate([far[part, c, None] + near[None, :] for c, near in lists], axis=1)
-            out[part] = np.partition(bounds, wanted - 1, axis=1)[:, wanted - 1]
+    cell, reach, kind = cells.close
+    if len(reach) < rule.k:
+        return out
+    step = max(1, TILE // len(reach))
+    for start in range(0, len(far), step):
+        part = slice(start, start + step)
+        bounds = far[part][:, cell] + reach[None, :]
+        if rule.excluding:
+            bounds[exclude[part, None] == kind[None, :]] = np.inf
+        out[part] = np.partition(bounds, rule.k - 1, axis=1)[:, rule.k - 1]
     return out
 
 
@@ -446,7 +449,7 @@ def vote(neighbors: Column, k: Column | int, classes: list[float], weights: str
 def votes_at(neighbors: Column, ks: Sequence[int], classes: list[float], weights: str = "uniform") -> Column:
     """Winning class position for every k at once, from running vote totals over Arrow batches.
 
-    Same rule as ``vote``; worth it when many values of k share one ranked list.
+    Same rule as ``vote``, NULL without neighbours; worth it when many values of k share one ranked list.
     """
     if weights not in ("uniform", "distance"):
         raise ValueError(f"unknown weights {weights!r}")
@@ -475,7 +478,8 @@ def votes_at(neighbors: Column, ks: Sequence[int], classes: list[float], weights
             better = total > most
             most[better], winner[better] = total[better], i
         ends = np.arange(len(lists) + 1, dtype="int32") * len(columns)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(winner.ravel()))
+        alone = np.repeat(sizes == 0, len(columns))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(winner.ravel(), mask=alone))
 
     return count(neighbors)
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomtab.models.mlp import MlpModel, partial_fit
@@ -21,11 +20,11 @@ def stored_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_before(spark: SparkSession, folder: str, batch: int) -> MlpModel | None:
-    """Model left by the latest batch before ``batch``."""
+    """Model left by the batch before ``batch``; every batch leaves one row, so only one step is read."""
     if batch == 0:
         return None
-    row = stored_weights(spark, folder).filter(F.col("batch") < batch).agg(F.max_by("state", "batch")).first()
-    return MlpModel(state=row[0]) if row and row[0] else None
+    row = spark.read.schema(WEIGHTS).parquet(f"{folder}/step-{batch - 1}").first()
+    return MlpModel(state=row["state"]) if row["state"] else None
 
 
 def learn_stream(stream: DataFrame, estimator: Any, folder: str, state: str, classes: Sequence[Any] | None = None) -> StreamingQuery:
@@ -41,11 +40,9 @@ def learn_stream(stream: DataFrame, estimator: Any, folder: str, state: str, cla
         try:
             before = model_before(spark, folder, number)
             rows = batch.count()
-            if not rows and before is None:
-                return
             known = sorted(set(classes)) if classes is not None else None
             after = partial_fit(before, estimator, batch, known) if rows else before
-            row = (number, rows, json.dumps(after.fitted))
+            row = (number, rows, json.dumps(after.fitted) if after else None)
             spark.createDataFrame([row], WEIGHTS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/step-{number}")
         finally:
             batch.unpersist()

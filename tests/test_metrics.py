@@ -129,3 +129,10 @@ def test_missing_predictions_are_misses_and_no_part_of_regression(spark):
     assert metrics.percent_error(frame, "y", "p").first()["percent_error"] == 50.0
     row = metrics.regression(frame.union(spark.createDataFrame([(4.0, 3.0)], "y double, p double")), "y", "p").first()
     assert abs(row["mse"] - 1 / 3) < 1e-12 and abs(row["r2"] - (1 - (1 / 3) / (14 / 9))) < 1e-12
+
+
+@pytest.mark.parametrize("odd", [("d", "a"), ("a", "d"), ("a", None)])
+def test_confusion_matrix_leaves_no_row_uncounted(spark, odd):
+    rows = spark.createDataFrame([("a", "a"), odd], "y string, p string")
+    with pytest.raises(Exception, match="not in classes"):
+        metrics.confusion_matrix(rows, "y", "p", ["a", "b"]).collect()

@@ -312,3 +312,13 @@ def test_regressors(spark):
         (LinearScore(labelCol="x2", loss="huber", epsilon=0.2), 0.3),
     ):
         assert regression(estimator.fit(train).transform(test), "x2", "prediction").first()["r2"] > floor
+
+
+@pytest.mark.parametrize("make", [lambda: Perceptron(), lambda: MlpClassifier(nHidden=2, algorithm="sgd", maxIter=4, batchSize=16, shuffle=True)])
+def test_weights_do_not_depend_on_the_layout(spark, make):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    rows = spark.createDataFrame([(v.tolist(), int(v.sum() > 0)) for v in x], "features array<double>, y int")
+    fitted = [make().named(labelCol="y").fit(rows.repartition(n)).fitted for n in (1, 4, 40)]
+    weights = [np.ravel(f["rows"] if "rows" in f else f["theta"]) for f in fitted]
+    assert np.array_equal(weights[0], weights[1]) and np.array_equal(weights[0], weights[2])

@@ -144,3 +144,22 @@ def test_bad_inputs_are_named(spark):
         knn_join(side, side, 0)
     with pytest.raises(ValueError, match="task"):
         Neighbors(task="rank").fit(side.df)
+
+
+def test_many_exclusion_groups_give_the_same_rows_on_both_routes(spark):
+    rng = np.random.default_rng(5)
+    points = np.round(rng.normal(size=(400, 3)), 1)
+    group = np.where(np.arange(400) % 3 == 0, 0, np.arange(400) % 100)  # a hot group and a hundred others
+    rows = [(i, p.tolist(), float(i % 3), int(g)) for i, (p, g) in enumerate(zip(points, group))]
+    side = Side(spark.createDataFrame(rows, "id long, vec array<double>, value double, part long"), "id", "vec", "value", "part")
+    found = [
+        {r["id"]: [(n["id"], round(n["distance"], 9)) for n in r["neighbors"]] for r in knn_join(side, side, 5, strategy=s, pivots=16, block_rows=40).collect()}
+        for s in ("broadcast", "blocks")
+    ]
+    assert found[0] == found[1] and all(group[i] != group[j] for i, near in found[0].items() for j, _ in near)
+
+
+def test_votes_without_neighbours_are_null(spark):
+    empty = spark.createDataFrame([(1, [])], "id long, neighbors array<struct<distance:double,id:bigint,value:double>>")
+    got = empty.select(votes_at(F.col("neighbors"), [1, 3], [0.0, 1.0]), vote(F.col("neighbors"), 3, [0.0, 1.0])).first()
+    assert got[0] == [None, None] and got[1] is None

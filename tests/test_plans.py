@@ -253,3 +253,9 @@ def test_family_of_files_is_one_scan(spark, tmp_path):
 def test_offsets_table(spark):
     row = tables.offsets_table(spark, {"1Q": (10, 12, 3)}).first()
     assert (row["horizon"], row["n_train"], row["n_last"], row["window"]) == ("1Q", 10, 12, 3)
+
+
+def test_arranged_results_keep_columns_of_no_fixed_place(spark):
+    table = spark.createDataFrame([("m", "balanced", 0.5)], "model string, weights string, Accuracy double")
+    arranged = sinks.arrange_results(table)
+    assert arranged.columns == [*sinks.RESULT_COLUMNS, "weights"] and arranged.first()["weights"] == "balanced"
