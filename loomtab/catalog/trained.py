@@ -31,8 +31,8 @@ from loomtab.operators.prepare import as_vector
 from loomtab.operators.splits import split, stratified_kfold
 from loomtab.plans.evaluators import TableEvaluator
 from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features, searched_forecasts
-from loomtab.plans.grids import grid_table, logistic_grid, network_grid, param_list, random_table
-from loomtab.plans.leaderboard import Entry, classifier_entries, leaderboard, regressor_entries
+from loomtab.plans.grids import boosting_grid, grid_table, logistic_grid, margin_grid, network_grid, param_list, random_table
+from loomtab.plans.leaderboard import Entry, classifier_entries, forecast_entries, leaderboard, regressor_entries
 from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, kernel_search, ranked, results_table, shared_search
 from loomtab.session import scratch_path
 from loomtab.sources import generators
@@ -94,16 +94,9 @@ def logistic_random_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def margin_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Linear, polynomial and rbf margins over C and gamma; a kernel without a feature map is reported."""
-    c = [1.0, 10.0, 100.0]
-    grid = [
-        {"kernel": ["poly"], "C": c, "degree": [2, 3], "gamma": [0.1, 1.0]},
-        {"kernel": ["rbf"], "C": c, "gamma": [0.1, 1.0]},
-        {"kernel": ["sigmoid"], "C": c[:1], "gamma": [0.1]},
-        {"kernel": ["linear"], "C": c},
-    ]
-    candidates = param_list(grid_table(spark, "margin", grid))
-    scores = kernel_search(_train(_moons(spark, folder)), candidates, "y", components=32, objectives=["accuracy", "f1"])
+    """The 75 published margins: linear, polynomial and rbf over C, degree and gamma; a kernel without a feature map is reported."""
+    candidates = param_list(grid_table(spark, "margin", margin_grid()))
+    scores = kernel_search(_train(_moons(spark, folder)), candidates, "y", objectives=["accuracy", "f1"])
     failed = scores.filter("error IS NOT NULL").select("candidate", "error")
     return ranked(scores, 5).select("objective", "candidate", "mean", "std", "rank").unionByName(failed, allowMissingColumns=True)
 
@@ -113,7 +106,7 @@ def network_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 42 distinct quasi-Newton candidates of the network grid, five folds each, trained together."""
     grid = [{name: values for name, values in g.items() if name in ("alpha", "n_hidden")} for g in network_grid()]
     candidates = param_list(grid_table(spark, "network", grid))
-    scores = shared_search(_train(_moons(spark, folder)), candidates, "y", objectives=["accuracy", "log_loss"], max_iter=40)
+    scores = shared_search(_train(_moons(spark, folder)), candidates, "y", objectives=["accuracy", "log_loss"], max_iter=200)
     return _summary(scores)
 
 
@@ -327,9 +320,9 @@ def leaderboard_classifiers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def leaderboard_regressors(spark: SparkSession, folder: str) -> DataFrame:
-    """Every distinct regressor setting of the long comparison, few rounds each."""
+    """Every distinct regressor setting of the long comparison."""
     rows = as_vector(_curve(spark, folder)).persist()
-    return leaderboard(spark, regressor_entries("key", "target", rounds=2), _train(rows), _test(rows), "target", regress=True)
+    return leaderboard(spark, regressor_entries("key", "target"), _train(rows), _test(rows), "target", regress=True)
 
 
 @query()
@@ -337,9 +330,10 @@ def boosting_search(spark: SparkSession, folder: str) -> DataFrame:
     """Boosting candidates by rate and rounds; the shorter ensembles are prefixes of the longest fit."""
     rows = _moons(spark, folder).persist()
     parts = []
-    for rate in (0.001, 1.0):
-        longest = adaboost_classifier(_train(rows), rounds=5, rate=rate)
-        for rounds in (2, 5):
+    (grid,) = boosting_grid()
+    for rate in grid["learning_rate"]:
+        longest = adaboost_classifier(_train(rows), rounds=max(grid["n_estimators"]), rate=rate)
+        for rounds in grid["n_estimators"]:
             scored = first_rounds(longest, rounds).transform(_test(rows))
             found = metrics.accuracy(scored, "y", "prediction")
             parts.append(found.select(F.lit(rounds).alias("rounds"), F.lit(rate).alias("rate"), "accuracy"))
@@ -356,12 +350,15 @@ def model_registry(spark: SparkSession, folder: str) -> DataFrame:
     return score_all(load_models(spark, root, "multi_class-*"), _test(rows), ["key", "y"])
 
 
+# The published horizons in rows of a daily series, a quarter and one to five years.
+HORIZONS = {"1Q": 63, "1Y": 252, "2Y": 504, "3Y": 756, "4Y": 1008, "5Y": 1260}
+
+
 @query()
 def forecast_horizons(spark: SparkSession, folder: str) -> DataFrame:
-    """Three horizons trained together: hold-out metrics, fold scores and the forecast of each."""
-    horizons = {"1Q": 63, "1Y": 252, "2Y": 504}
+    """The six horizons trained together: hold-out metrics, fold scores and the forecast of each."""
     columns = [f"lag_{i}" for i in range(1, 6)]
-    ready = scaled_features(horizon_table(daily_revenue(spark, folder), "day", "revenue", horizons), columns).persist()
+    ready = scaled_features(horizon_table(daily_revenue(spark, folder), "day", "revenue", HORIZONS), columns).persist()
     reports = linear_forecasts(ready, "day")
     wide = [
         reports["metrics"].select("horizon", F.lit("metrics").alias("report"), "r2", "mae", "mse", "explained_variance"),
@@ -376,15 +373,11 @@ def forecast_horizons(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def forecast_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Regressors searched at two horizons; the winner of each is refitted and forecasts."""
-    columns = [f"lag_{i}" for i in range(1, 4)]
-    series = horizon_table(daily_revenue(spark, folder), "day", "revenue", {"1Q": 63, "1Y": 252}, lags=3)
+    """The 31 published regressors searched at every horizon; the winner of each is refitted and forecasts."""
+    columns = [f"lag_{i}" for i in range(1, 6)]
+    series = horizon_table(daily_revenue(spark, folder), "day", "revenue", HORIZONS)
     ready = as_vector(scaled_features(series, columns)).withColumn("key", F.col("position")).persist()
-    ml = {"featuresCol": "vector", "labelCol": "target"}
-    entries = [
-        Entry("tree", decision_tree("regress", 3, **ml)),
-        Entry("neighbors 16", Neighbors(labelCol="target", keyCol="key", task="regress", k=16)),
-    ]
+    entries = forecast_entries("key", "target")
     reports = searched_forecasts(ready, "day", entries)
     return reports["search"].withColumn("report", F.lit("search")).unionByName(
         reports["metrics"].select("horizon", "candidate", "r2", "mae", F.lit("metrics").alias("report")), allowMissingColumns=True

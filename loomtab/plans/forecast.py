@@ -114,18 +114,25 @@ def searched_forecasts(
 ) -> dict[str, DataFrame]:
     """Search any list of regressors at every horizon, refit the best one of each and forecast with it.
 
-    Returns 'search' (mean r2 over folds and its standard error per horizon and candidate),
-    'metrics' (hold-out metrics of the winners) and 'forecast' (their value for the last row).
+    Returns 'search' (mean r2 over folds and its standard error per horizon and candidate, or the
+    error of a candidate that failed), 'metrics' (hold-out metrics of the winners) and 'forecast'
+    (their value for the last row). Each candidate's fold scores are taken by a job of their own, so
+    no plan grows with the number of candidates.
     """
     known = split(kfold(ready.filter("target IS NOT NULL"), order, folds), order).persist()
     train = known.filter("split = 'train'")
     names = [r["horizon"] for r in ready.select("horizon").distinct().orderBy("horizon").collect()]
 
-    def crossed(cell: tuple[str, Entry]) -> DataFrame:
+    by = ["horizon", "candidate"]
+
+    def crossed(cell: tuple[str, Entry]) -> list[tuple]:
         horizon, entry = cell
-        rows = train.filter(F.col("horizon") == horizon)
-        out = fold_predictions(entry.train, rows, "fold", folds, 1)
-        return out.select("horizon", F.lit(entry.name).alias("candidate"), "fold", "target", "prediction")
+        try:
+            out = fold_predictions(entry.train, train.filter(F.col("horizon") == horizon), "fold", folds, 1)
+            scores = metrics.regression(out.select("fold", "target", "prediction"), "target", "prediction", ["fold"])
+            return [(horizon, entry.name, r["fold"], r["r2"], None) for r in scores.collect()]
+        except Exception as error:  # a failed candidate is a result, not the end of the search
+            return [(horizon, entry.name, None, None, f"{type(error).__name__}: {str(error)[:500]}")]
 
     def chosen(horizon: str) -> tuple[DataFrame, DataFrame]:
         entry = next(e for e in entries if e.name == winners[horizon])
@@ -135,13 +142,14 @@ def searched_forecasts(
         return tuple(df.select("horizon", F.lit(entry.name).alias("candidate"), order, "target", "prediction") for df in (test, future))
 
     with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(crossed, [(h, e) for h in names for e in entries]))
-        scores = metrics.regression(stack_frames(parts), "target", "prediction", ["horizon", "candidate", "fold"])
-        table = fold_summary(scores, "r2", ["horizon", "candidate"])
+        rows = [r for part in pool.map(crossed, [(h, e) for h in names for e in entries]) for r in part]
+        scores = ready.sparkSession.createDataFrame(rows, "horizon string, candidate string, fold int, r2 double, error string")
+        table = fold_summary(scores, "r2", by).join(scores.groupBy(*by).agg(F.max("error").alias("error")), by)
         table = ready.sparkSession.createDataFrame(table.toArrow(), table.schema)
-        winners = {r["horizon"]: r["candidate"] for r in best_model(table, "mean", by=["horizon"]).collect()}
-        tests, futures = zip(*pool.map(chosen, names))
-    by = ["horizon", "candidate"]
+        winners = {r["horizon"]: r["candidate"] for r in best_model(table.filter("mean IS NOT NULL"), "mean", by=["horizon"]).collect()}
+        if not winners:
+            raise ValueError(f"every candidate failed, the first with {rows[0][-1] if rows else 'no row'}")
+        tests, futures = zip(*pool.map(chosen, [h for h in names if h in winners]))
     return {
         "search": table,
         "metrics": metrics.regression(stack_frames(tests), "target", "prediction", by),

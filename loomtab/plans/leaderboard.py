@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import product
 from typing import Any
 
 from pyspark.ml import Estimator
@@ -21,6 +22,7 @@ from loomtab.models.trees import (
 )
 from loomtab.operators import metrics
 from loomtab.operators.ranking import best_model
+from loomtab.plans.grids import regression_grids
 
 
 @dataclass(frozen=True)
@@ -120,6 +122,26 @@ def regressor_entries(key: str, label: str, vector: str = "vector", rounds: int
     return entries
 
 
+def forecast_entries(key: str, label: str, vector: str = "vector", rounds: int = 100) -> list[Entry]:
+    """Every candidate of the published forecast search (``regression_grids``); a kernel without a feature map fails when it is fitted."""
+    ml = {"featuresCol": vector, "labelCol": label}
+    # A tree without a depth of its own grows to MLlib's limit.
+    makers: dict[str, Callable[..., Any]] = {
+        "boosting": lambda loss, max_depth: lambda df: boosted_quantiles(df, label=label, loss=loss, rounds=rounds, depth=max_depth),
+        "forest": lambda: random_forest("regress", 10, 30, **ml),
+        "tree": lambda: decision_tree("regress", 30, **ml),
+        "neighbors": lambda n_neighbors: Neighbors(keyCol=key, labelCol=label, task="regress", k=n_neighbors),
+        "svr": lambda kernel, gamma: mapped_fit(lambda df: kernel_map(df, kernel, gamma=gamma), LinearScore(labelCol=label, loss="tube")),
+    }
+    entries = []
+    for model, grids in regression_grids().items():
+        for grid in grids:
+            for values in product(*grid.values()):
+                params = dict(zip(grid, values))
+                entries.append(Entry(" ".join([model, *(f"{k}={v}" for k, v in params.items())]), makers[model](**params)))
+    return entries
+
+
 def with_vector(df: DataFrame, features: str = "features", output: str = "vector") -> DataFrame:
     return df.withColumn(output, array_to_vector(F.col(features).cast("array<double>")))
 
