@@ -1,7 +1,7 @@
 """Compression bands: documents whose zstandard ratio is out of the limits of their length are rejected.
 
 A ratio is compressed bytes over raw bytes. The whole document is judged by the limits of its length, and every
-fixed chunk by the limits of the chunk's length; a repetitive part of a long document shows in its chunks even when
+chunk, the shorter last one too, by the limits of the chunk's length; a repetitive part of a long document shows in its chunks even when
 the whole looks normal. Counting rules (words, symbols, repeated lines and windows) are measured beside them.
 """
 
@@ -23,7 +23,8 @@ class Bands:
     """Limits by length: a text of at most ``length`` bytes must have low <= ratio <= high.
 
     Short texts compress little, so their bands are open; the last band holds for all longer ones. ``chunk`` is the
-    chunk length in bytes; a document fails when more than ``bad_chunks`` of its whole chunks are out of their band.
+    chunk length in bytes; the last chunk of a text is what is left, judged by the band of its own length. A document
+    longer than one chunk fails when more than ``bad_chunks`` of its bytes are in chunks out of their band.
     """
 
     lengths: tuple[float, ...] = (127, 255, 511, 1023, 2047, 4095, 8191, 16383, float("inf"))
@@ -89,17 +90,19 @@ def compression(text, bands: Bands) -> dict[str, np.ndarray]:
 
     n = len(text)
     size = np.diff(text.offsets)
-    ratio, chunks, bad = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    ratio, chunks, bad, bad_bytes = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(n):
         raw = text.text(i)
         if not raw:
             continue
         ratio[i] = len(squeeze(raw)) / len(raw)
-        chunks[i] = len(raw) // bands.chunk
-        if chunks[i]:
-            part = np.array([len(squeeze(raw[at : at + bands.chunk])) for at in range(0, chunks[i] * bands.chunk, bands.chunk)])
-            bad[i] = (~in_band(np.full(len(part), bands.chunk), part / bands.chunk)).sum()
-    good = in_band(size, ratio) & (bad <= bands.bad_chunks * chunks)
+        if len(raw) < bands.chunk:
+            continue
+        parts = [raw[at : at + bands.chunk] for at in range(0, len(raw), bands.chunk)]
+        long = np.array([len(p) for p in parts])
+        wrong = ~in_band(long, np.array([len(squeeze(p)) for p in parts]) / long)
+        chunks[i], bad[i], bad_bytes[i] = len(parts), wrong.sum(), long[wrong].sum()
+    good = in_band(size, ratio) & (bad_bytes <= bands.bad_chunks * size)
     return {"ratio": np.round(ratio, 6), "n_chunks": chunks, "n_bad_chunks": bad, "in_band": good}
 
 
