@@ -58,9 +58,10 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int,
 
 
 def item_seeds(items: DataFrame, min_match: int, key: str, text: str) -> DataFrame:
-    """(seed, item, place, size, width, body) of every seed; items of equal words count once, under the smallest key.
+    """(seed, item, mark, place, size, width, body) of every seed; items of equal words count once, under the smallest key.
 
-    An item shorter than ``min_match`` is one seed; an item without words has none.
+    ``mark`` hashes the words and tells items of one key, or of none, apart. An item shorter than ``min_match`` is one seed;
+    an item without words has none.
     """
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +76,7 @@ def item_seeds(items: DataFrame, min_match: int, key: str, text: str) -> DataFra
                 yield record(schema, item=rows.column("item"), body=said, size=found.count)
 
     def seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("seed", pa.int64()), ("item", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("width", pa.int64()), ("body", pa.string())])
+        schema = pa.schema([("seed", pa.int64()), ("item", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("width", pa.int64()), ("body", pa.string())])
         for batch in batches:
             for rows, part in slices(batch, "body"):
                 found = words_of(part, ALNUM)
@@ -87,13 +88,13 @@ def item_seeds(items: DataFrame, min_match: int, key: str, text: str) -> DataFra
                     owner = found.owner[at]
                     pick = pa.array(owner)
                     yield record(
-                        schema, seed=signed(value), item=rows.column("item").take(pick), place=at - found.first[owner], size=found.count[owner],
-                        width=np.full(len(at), width), body=rows.column("body").take(pick),
+                        schema, seed=signed(value), item=rows.column("item").take(pick), mark=rows.column("mark").take(pick),
+                        place=at - found.first[owner], size=found.count[owner], width=np.full(len(at), width), body=rows.column("body").take(pick),
                     )
 
     told = items.select(F.col(key).cast("long").alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(words, "item long, body string, size long")
     once = told.filter("size > 0").groupBy("body").agg(F.min("item").alias("item"))
-    return once.mapInArrow(seeds, "seed long, item long, place long, size long, width long, body string")
+    return once.withColumn("mark", F.xxhash64("body")).mapInArrow(seeds, "seed long, item long, mark long, place long, size long, width long, body string")
 
 
 def _seed_map(seeds: DataFrame) -> bytes:
@@ -134,18 +135,19 @@ def candidates(docs: DataFrame, seeds: DataFrame, min_match: int, cover: float,
 
     rows = docs.select(F.col(key).cast("long").alias("of"), F.xxhash64(F.col(text)).alias("check"), F.col(text).cast("string").alias("text"))
     met = rows.mapInArrow(emit, "of long, check long, hit long").join(seeds, F.col("hit") == F.col("seed"))
-    pairs = met.groupBy("of", "check", "item", "size", "width").agg(F.collect_set("place").alias("places"))
+    pairs = met.groupBy("of", "check", "item", "mark", "size", "width").agg(F.collect_set("place").alias("places"))
     words = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1))))
-    able = pairs.filter(F.size(words) >= cover * F.col("size")).select("of", "check", "item")
-    bodies = seeds.select(F.col("item").alias("i"), "body").distinct()
-    told = able.join(bodies, F.col("item") == F.col("i")).groupBy("of", "check").agg(F.collect_list(F.struct("item", "body")).alias("__items"))
+    able = pairs.filter(F.size(words) >= cover * F.col("size")).select("of", "check", "item", "mark")
+    bodies = seeds.select(F.col("item").alias("i"), F.col("mark").alias("m"), "body").distinct()
+    told = able.join(bodies, F.col("item").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).groupBy("of", "check").agg(F.collect_list(F.struct("item", "body")).alias("__items"))
     return told.select(F.col("of").alias("__of"), F.col("check").alias("__check"), "__items")
 
 
 def with_tiles(docs: DataFrame, items: DataFrame, min_match: int = 4, cover: float = 0.6, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``__items`` (how many items its tiles cover enough), ``__best`` and ``__coverage``.
 
-    ``__best`` is the item of highest coverage, the smallest key of equal ones, null when no item is near. Words are
+    ``__best`` is the item of highest coverage, the smallest key of equal ones, null when no item is near or the best has no
+    key. Items of no key, or of one key and other words, are items of their own. Words are
     lower-cased runs of letters, digits and bytes over 0x7F. A null or empty text or item has no words and matches
     nothing; rows without an id are told apart by their text; repeated rows are judged alike; empty tables give no match.
     """
