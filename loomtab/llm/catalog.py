@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "license_scan", "parity_join", "string_tiling", "line_dedup", "line_crf", "chat_windows", "lm_scoring", "substring_dedup", "curriculum",
-    "quality_rules",
+    "quality_rules", "coordinate_join", "token_alignment", "whitening",
 )
 
 

@@ -97,7 +97,7 @@ def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def planes(values: np.ndarray) -> bytes:
     """Fixed-width values byte by byte: the high bytes of small numbers become long runs that compress away."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
 
 
 def from_planes(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
