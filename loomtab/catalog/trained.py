@@ -7,34 +7,38 @@ no signal. Iterative trainers have no SQL form; unit tests check their propertie
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtab.catalog.closed_form import mixture_rows, moons_rows
-from loomtab.catalog.common import daily_revenue, query
+from loomtab.catalog.common import daily_revenue, hsql, query
 from loomtab.models.linear import (
     LinearScore, Perceptron, kernel_map, linear_svc, logistic_regression, polynomial_features, reduced_pipeline, weighted,
 )
 from loomtab.models.mlp import MlpClassifier, MlpRegressor, small_network, softmax_network
 from loomtab.models.neighbors import Neighbors
+from loomtab.models.shared_trees import Spec, squared_error, train, training_rows
 from loomtab.models.simple import GaussianBayes, LinearDiscriminant
 from loomtab.models.trees import (
-    adaboost_classifier, adaboost_regressor, bagging_regressor, boosted_quantiles, decision_tree, extra_trees, first_rounds,
+    adaboost_classifier, adaboost_rates, adaboost_regressor, bagging_regressor, boosted_quantiles, decision_tree, extra_trees, first_rounds,
     gradient_boosting, random_forest,
 )
 from loomtab.operators import metrics
 from loomtab.operators.columns import stack_frames
 from loomtab.operators.prepare import as_vector
-from loomtab.operators.splits import split, stratified_kfold
+from loomtab.operators.splits import kfold, split, stratified_kfold
 from loomtab.plans.evaluators import TableEvaluator
 from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features, searched_forecasts
 from loomtab.plans.grids import boosting_grid, grid_table, logistic_grid, margin_grid, network_grid, param_list, random_table
 from loomtab.plans.leaderboard import Entry, classifier_entries, forecast_entries, leaderboard, regressor_entries
+from loomtab.plans.pipelines import by_step, components_of, fit_steps, fold_moments, merged, pipeline_search
 from loomtab.plans.search import cross_validate, fold_predictions, fold_scores, kernel_search, ranked, results_table, shared_search
-from loomtab.session import scratch_path
+from loomtab.session import load, scratch_path
 from loomtab.sources import generators
 from loomtab.sources.registry import load_models, save_model, score_all
 from loomtab.sources.sinks import arrange_results
@@ -57,6 +61,15 @@ def _curve(spark: SparkSession, folder: str) -> DataFrame:
     return split(generators.with_features(rows, ("x1", "y")), "key").select("key", "features", F.col("x2").alias("target"), "split")
 
 
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    """All line items: five numbers as features; the class says whether the discounted price is over 25,000; split and folds by key."""
+    price, share = F.col("l_extendedprice"), F.col("l_discount")
+    features = F.array(F.col("l_quantity"), price / 1000.0, share * 100.0, F.col("l_tax") * 100.0, F.col("l_linenumber").cast("double"))
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = load(spark, folder, "lineitem").select(key.alias("key"), features.alias("features"), (price * (1.0 - share) > 25000.0).cast("int").alias("y"))
+    return kfold(split(rows, "key"), "key", 5)
+
+
 def _train(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("split") == "train")
 
@@ -268,37 +281,37 @@ def extra_trees_regress(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def gbt(spark: SparkSession, folder: str) -> DataFrame:
     rows = as_vector(_curve(spark, folder))
-    return _scored(gradient_boosting("squared", 8, featuresCol="vector", labelCol="target").fit(_train(rows)), rows, "target")
+    return _scored(gradient_boosting("squared", 100, featuresCol="vector", labelCol="target").fit(_train(rows)), rows, "target")
 
 
 @query()
 def gbt_huber(spark: SparkSession, folder: str) -> DataFrame:
     rows = _curve(spark, folder)
-    return _scored(boosted_quantiles(_train(rows), label="target", loss="huber", rounds=4, rate=0.4), rows, "target")
+    return _scored(boosted_quantiles(_train(rows), label="target", loss="huber", rounds=100), rows, "target")
 
 
 @query()
 def gbt_quantile(spark: SparkSession, folder: str) -> DataFrame:
     rows = _curve(spark, folder)
-    return _scored(boosted_quantiles(_train(rows), label="target", loss="quantile", quantile=0.9, rounds=4, rate=0.4), rows, "target")
+    return _scored(boosted_quantiles(_train(rows), label="target", loss="quantile", quantile=0.9, rounds=100), rows, "target")
 
 
 @query()
 def adaboost(spark: SparkSession, folder: str) -> DataFrame:
     rows = _moons(spark, folder)
-    return _scored(adaboost_classifier(_train(rows), rounds=6), rows)
+    return _scored(adaboost_classifier(_train(rows), rounds=50), rows)
 
 
 @query()
 def adaboost_regress(spark: SparkSession, folder: str) -> DataFrame:
     rows = _curve(spark, folder)
-    return _scored(adaboost_regressor(_train(rows), label="target", loss="square", rounds=4), rows, "target")
+    return _scored(adaboost_regressor(_train(rows), label="target", loss="square", rounds=50), rows, "target")
 
 
 @query()
 def bagging(spark: SparkSession, folder: str) -> DataFrame:
     rows = _curve(spark, folder)
-    return _scored(bagging_regressor(_train(rows), "key", label="target", members=4, depth=5), rows, "target")
+    return _scored(bagging_regressor(_train(rows), "key", label="target", members=10, depth=10), rows, "target")
 
 
 @query()
@@ -309,11 +322,103 @@ def reduced_pipeline_fit(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(reduced_pipeline(3, final).fit(_train(rows)), rows)
 
 
+# The cuts tried by the boosting rounds, every value of the three columns but the largest.
+CUTS = [[float(q) for q in range(1, 50)], [float(d) for d in range(10)], [float(t) for t in range(8)]]
+RATE = 0.5
+
+
+def _rounds_sql(rounds: int = 3) -> str:
+    """Boosting rounds of one cut each, by trying all cuts of all columns on the gaps the round before leaves."""
+    parts = [
+        """gaps0 as (
+  select x0, x1, x2, y, y - avg(y) over () as gap
+  from (select l_quantity as x0, round(l_discount * 100) as x1, round(l_tax * 100) as x2, l_quantity * (1 - l_discount) * (1 + l_tax) as y from lineitem))"""
+    ]
+    for i in range(1, rounds + 1):
+        columns = " union all ".join(f"select {f} as feature, x{f} as x, count(*) as n, sum(gap) as s from gaps{i - 1} group by all" for f in range(3))
+        parts += [
+            f"sums{i} as ({columns})",
+            f"""cuts{i} as (
+  select feature, x as cut, sum(n) over w as n_left, sum(s) over w as s_left, sum(n) over a as n, sum(s) over a as s
+  from sums{i} window w as (partition by feature order by x), a as (partition by feature))""",
+            f"""best{i} as (
+  select feature, cut, s_left / n_left as left_value, (s - s_left) / (n - n_left) as right_value from cuts{i} where n_left < n
+  order by s_left * s_left / n_left + (s - s_left) * (s - s_left) / (n - n_left) desc, feature, cut limit 1)""",
+            f"""gaps{i} as (
+  select x0, x1, x2, y, gap - {RATE} * case when case feature when 0 then x0 when 1 then x1 else x2 end <= cut then left_value else right_value end as gap
+  from gaps{i - 1}, best{i})""",
+        ]
+    out = " union all ".join(
+        f"select {i} as round, feature, cut, round(left_value, 6) as left_value, round(right_value, 6) as right_value, "
+        f"(select round(avg(gap * gap), 6) from gaps{i}) as mse from best{i}"
+        for i in range(1, rounds + 1)
+    )
+    return f"with {', '.join(parts)} {out}"
+
+
+@query(_rounds_sql())
+def boosting_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Three rounds of squared-loss boosting over all line items: the cut, leaf values and error of each."""
+    features = F.array(F.col("l_quantity"), F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100))
+    target = F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    rows = training_rows(load(spark, folder, "lineitem").select(features.alias("features"), target.alias("y")), "features", F.col("y")).persist()
+    (model,), edges = train(rows, [Spec("boost", 1, 3, RATE)], [np.array(c) for c in CUTS])
+    found = []
+    for i in range(1, 4):
+        first = replace(model, trees=model.trees[:i], weights=model.weights[:i])
+        mse = squared_error(rows, first, Spec("boost", 1, i, RATE), edges)
+        tree = model.trees[i - 1]
+        left, right = (float(np.round(tree.value[tree.left[0] + side], 6)) for side in (0, 1))
+        found.append((i, tree.feature[0], float(edges[tree.feature[0]][tree.cut[0]]), left, right, float(np.round(mse, 6))))
+    rows.unpersist()
+    return spark.createDataFrame(found, "round int, feature int, cut double, left_value double, right_value double, mse double")
+
+
+@query(
+    f"""with items as (
+  select l_quantity as x, l_extendedprice / 1000 as z, cast({hsql('key', 2)} % 5 as int) as fold
+  from (select *, l_orderkey * 8 + l_linenumber as key from lineitem)),
+  parts as (
+    select f as fold, count(*) as n, var_pop(x) as a, var_pop(z) as c, covar_pop(x, z) as b
+    from items, (select unnest(range(5))::int as f) where fold <> f group by f),
+  turned as (select *, 0.5 * atan2(2 * b, a - c) as t, sqrt((a - c) * (a - c) + 4 * b * b) as gap from parts)
+  select fold, n, round((a + c + gap) / 2, 5) as first_variance, round((a + c - gap) / 2, 5) as second_variance,
+         round(abs(cos(t)), 6) as first_x,
+         round(case when abs(cos(t)) >= abs(sin(t)) then sign(cos(t)) * sin(t) else abs(sin(t)) end, 6) + 0.0 as first_z
+  from turned"""
+)
+def principal_axes(spark: SparkSession, folder: str) -> DataFrame:
+    """Principal axes of quantity and price of all line items without each of five folds, from one pass over the folds."""
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = load(spark, folder, "lineitem").select(key.alias("key"), F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000).alias("features"))
+    moments = fold_moments(kfold(rows, "key", 5), "features", "fold", 5)
+    found = []
+    for f in range(5):
+        rest = merged([m for g, m in enumerate(moments) if g != f])
+        _, axes, values = components_of(rest, 2)
+        found.append((f, int(rest[0]), *(float(np.round(v, 5)) for v in values), float(np.round(abs(axes[0, 0]), 6)), float(np.round(axes[1, 0], 6)) + 0.0))
+    return spark.createDataFrame(found, "fold int, n long, first_variance double, second_variance double, first_x double, first_z double")
+
+
+@query()
+def pipeline_steps_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of components by penalty, searched together over the features of all line items; the winner is refitted."""
+    rows = _items(spark, folder).persist()
+    grid = [{"reduce__k": [1, 2, 3, 4], "model__C": [0.01, 1.0, 100.0]}]
+    candidates = param_list(grid_table(spark, "logistic", grid))
+    scores = pipeline_search(_train(rows), candidates, "y", objectives=["accuracy", "roc_auc"])
+    best = ranked(scores, 1).filter("objective = 'roc_auc'").first()["candidate"]
+    final = LinearScore(featuresCol="reduced", labelCol="y", C=float(by_step(candidates[best][2])["model"]["C"]))
+    held_out = metrics.accuracy(fit_steps(_train(rows), candidates[best][2], final).transform(_test(rows)), "y", "prediction")
+    chosen = held_out.select(F.lit("held_out").alias("objective"), F.lit(best).cast("bigint").alias("candidate"), F.col("accuracy").alias("mean"))
+    return _summary(scores).unionByName(chosen, allowMissingColumns=True)
+
+
 @query()
 def leaderboard_classifiers(spark: SparkSession, folder: str) -> DataFrame:
     """The nine compared classifiers on one data set; a broken entry is reported, not fatal."""
     rows = as_vector(_moons(spark, folder)).persist()
-    entries = classifier_entries("key", boosting_rounds=5)
+    entries = classifier_entries("key")
     entries.append(Entry("Misspelt metric", Neighbors(keyCol="key", metric="euclidian")))
     return leaderboard(spark, entries, _train(rows), _test(rows), "y")
 
@@ -331,8 +436,7 @@ def boosting_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = _moons(spark, folder).persist()
     parts = []
     (grid,) = boosting_grid()
-    for rate in grid["learning_rate"]:
-        longest = adaboost_classifier(_train(rows), rounds=max(grid["n_estimators"]), rate=rate)
+    for rate, longest in zip(grid["learning_rate"], adaboost_rates(_train(rows), grid["learning_rate"], max(grid["n_estimators"]))):
         for rounds in grid["n_estimators"]:
             scored = first_rounds(longest, rounds).transform(_test(rows))
             found = metrics.accuracy(scored, "y", "prediction")

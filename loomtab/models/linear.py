@@ -20,7 +20,7 @@ from loomtab.functions.maths import arg_max, dot, doubles, logistic, softmax
 from loomtab.models.arrays import block_columns, matrix, rows_of, summed
 from loomtab.models.base import TableEstimator, TableModel, class_at, class_index, sorted_classes
 from loomtab.models.losses import Linear
-from loomtab.models.shared_pass import Problem, fit_all, sharded, training_table
+from loomtab.models.shared_pass import Problem, fit_all, shard_batches, sharded, training_table
 from loomtab.operators.aggregates import class_counts
 
 
@@ -231,14 +231,14 @@ class _PerceptronParams(Params):
     epochs = Param(Params._dummy(), "epochs", "passes", TypeConverters.toInt)
     balanced = Param(Params._dummy(), "balanced", "weight classes by inverse frequency", TypeConverters.toBoolean)
     l1Ratio = Param(Params._dummy(), "l1Ratio", "share of l1 in elasticnet", TypeConverters.toFloat)
-    shards = Param(Params._dummy(), "shards", "parts of the rows, by content, that are walked apart and averaged", TypeConverters.toInt)
+    shards = Param(Params._dummy(), "shards", "parts of the rows that are walked apart and averaged; 0 grows with the rows", TypeConverters.toInt)
 
 
 class Perceptron(TableEstimator, _PerceptronParams):
-    """Averaged perceptron: each of ``shards`` tasks runs its rows in order, the weights are averaged every epoch.
+    """Averaged perceptron: each of ``shards`` parts is run in order, the weights are averaged every epoch.
 
-    One job per epoch (McDonald, Hall and Mann, NAACL 2010). Mistakes inside one Arrow
-    sub-block are corrected together, so tasks stay vectorised.
+    One job per epoch (McDonald, Hall and Mann, NAACL 2010). Mistakes inside a block of 64
+    rows are corrected together, so tasks stay vectorised.
     """
 
     model_class = LinearScoreModel
@@ -246,15 +246,15 @@ class Perceptron(TableEstimator, _PerceptronParams):
 
     def _defaults(self) -> None:
         # Documented defaults of the perceptron.
-        self._setDefault(penalty="none", alpha=0.0001, eta0=1.0, epochs=5, balanced=False, l1Ratio=0.15, shards=8)
+        self._setDefault(penalty="none", alpha=0.0001, eta0=1.0, epochs=5, balanced=False, l1Ratio=0.15, shards=0)
 
     def validate(self) -> None:
         if self._get("penalty") not in ("none", "l1", "l2", "elasticnet"):
             raise ValueError(f"penalty={self._get('penalty')!r} is not supported")
         if self._get("eta0") <= 0:
             raise ValueError(f"eta0={self._get('eta0')!r} must be > 0")
-        if self._get("shards") <= 0:
-            raise ValueError(f"shards={self._get('shards')!r} must be > 0")
+        if self._get("shards") < 0:
+            raise ValueError(f"shards={self._get('shards')!r} must be >= 0")
 
     def learn(self, df: DataFrame) -> dict[str, Any]:
         classes = sorted_classes(df, self._get("labelCol"))
@@ -285,23 +285,22 @@ class Perceptron(TableEstimator, _PerceptronParams):
         l1, l2 = self._shrink()
 
         def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            rows, total, seen = start.copy(), np.zeros_like(start), 0
-            for batch in batches:
-                block = block_columns(batch)
-                for begin in range(0, len(block["y"]), size):
-                    x = block["features"][begin : begin + size]
-                    y = block["y"][begin : begin + size].astype(int)
-                    share = np.array([weights.get(int(c), 1.0) for c in y])
-                    side = (2.0 * y - 1.0)[:, None] if len(rows) == 1 else np.where(y[:, None] == np.arange(len(rows)), 1.0, -1.0)
-                    wrong = side * (x @ rows[:, :-1].T + rows[:, -1]) <= 0
-                    push = eta * (wrong * side * share[:, None]) / len(y)
-                    rows = rows + np.column_stack([push.T @ x, push.sum(0)])
-                    if l1 or l2:
-                        kept = rows[:, :-1] * (1.0 - l2)
-                        rows[:, :-1] = np.sign(kept) * np.maximum(0.0, np.abs(kept) - l1)
-                    total += rows * len(y)
-                    seen += len(y)
+            rows, total, seen, walked = start.copy(), np.zeros_like(start), 0, -1
+            for shard, block in shard_batches(batches, size):
+                if shard != walked:
+                    rows, walked = start.copy(), shard
+                x, y = block["features"], block["y"].astype(int)
+                share = np.array([weights.get(int(c), 1.0) for c in y])
+                side = (2.0 * y - 1.0)[:, None] if len(rows) == 1 else np.where(y[:, None] == np.arange(len(rows)), 1.0, -1.0)
+                wrong = side * (x @ rows[:, :-1].T + rows[:, -1]) <= 0
+                push = eta * (wrong * side * share[:, None]) / len(y)
+                rows = rows + np.column_stack([push.T @ x, push.sum(0)])
+                if l1 or l2:
+                    kept = rows[:, :-1] * (1.0 - l2)
+                    rows[:, :-1] = np.sign(kept) * np.maximum(0.0, np.abs(kept) - l1)
+                total += rows * len(y)
+                seen += len(y)
             return np.concatenate([[seen], total.ravel()])
 
-        flat = summed(table.select("features", "y", "fold"), work, table.rdd.getNumPartitions())
+        flat = summed(table, work, table.rdd.getNumPartitions())
         return (flat[1:] / max(flat[0], 1)).reshape(start.shape)

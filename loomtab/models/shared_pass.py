@@ -27,6 +27,9 @@ MEMORY = 10
 NEWTON_SIZE = 256  # largest parameter vector whose curvature matrix is summed
 SWEEPS = 50
 ROWS_PER_TASK = 20000
+ROWS_PER_SHARD = 20000
+LEAST_SHARDS = 8
+PIECE = 100
 
 
 @dataclass
@@ -94,15 +97,53 @@ def training_table(df: DataFrame, features: str, label: str, fold: str | None =
     return packed
 
 
-def sharded(table: DataFrame, shards: int, salt: int = 0) -> DataFrame:
-    """The rows of a training table in ``shards`` partitions by their content, each in one order; cached.
+def sharded(table: DataFrame, shards: int = 0, salt: int = 0) -> DataFrame:
+    """(features, y, fold, copies, shard): a training table dealt into virtual shards by content, each in one order; cached.
 
-    What a walk over the shards learns depends on their number alone, not on how the table was laid out or on the
-    cluster. More shards mean more tasks and more models averaged. Equal rows share a shard. The caller unpersists it.
+    What a walk over the shards learns depends on their number alone, not on the layout of the table, the tasks or the
+    cluster. Without a number there is one for ``ROWS_PER_SHARD`` rows (``LEAST_SHARDS`` at least), so tasks grow with the
+    rows. Equal rows are counted first and dealt in pieces of up to ``PIECE`` copies, so a row that is a third of the table
+    spreads over all shards. The caller unpersists it.
     """
-    mark = F.xxhash64("features", "y", "fold", F.lit(salt)).alias("mark")
-    rows = table.select("features", "y", "fold", mark).repartition(shards, "mark")
-    return rows.sortWithinPartitions("mark", "y", "fold", "features").drop("mark").persist()
+    shards = shards or max(LEAST_SHARDS, -(-table.count() // ROWS_PER_SHARD))
+    counted = table.groupBy("features", "y", "fold").agg(F.count("*").alias("n"))
+    pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE))))
+    mark = F.xxhash64("features", "y", "fold", "piece", F.lit(salt))
+    rows = pieces.select("features", "y", "fold", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE).cast("int").alias("copies"), mark.alias("mark"))
+    dealt = rows.withColumn("shard", F.pmod("mark", F.lit(shards)).cast("int")).repartition(shards, "shard")
+    return dealt.sortWithinPartitions("shard", "mark", "y", "fold", "features").drop("mark").persist()
+
+
+def shard_batches(batches: Iterator[pa.RecordBatch], size: int, used=None) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(shard, block of ``size`` rows) of the shards of a task, the last of a shard shorter; ``used`` picks the rows that count.
+
+    Blocks are cut by shard alone, so Arrow's batches leave no trace.
+    """
+    current, held = -1, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = block_columns(batch)
+        index = np.repeat(np.arange(batch.num_rows), block["copies"])
+        if used is not None:
+            index = index[used(block)[index]]
+        shard = block["shard"][index]
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        for part in np.split(index, cuts):
+            if not len(part):
+                continue
+            if (now := int(block["shard"][part[0]])) != current:
+                if held is not None and len(held["y"]):
+                    yield current, held
+                current, held = now, None
+            more = {name: block[name][part] for name in ("features", "y", "fold")}
+            held = more if held is None else {name: np.concatenate([held[name], more[name]]) for name in more}
+            whole = len(held["y"]) // size * size
+            for start in range(0, whole, size):
+                yield current, {name: values[start : start + size] for name, values in held.items()}
+            held = {name: values[whole:] for name, values in held.items()}
+    if held is not None and len(held["y"]):
+        yield current, held
 
 
 def _stepper(theta: np.ndarray, max_iter: int, tol: float) -> Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], np.ndarray]:
@@ -319,10 +360,10 @@ class Descent:
 
 
 def descend(table: DataFrame, problem: Problem, how: Descent, watch=None) -> np.ndarray:
-    """Mini-batch gradient descent: tasks walk their partition, weights are averaged once per epoch.
+    """Mini-batch gradient descent over a ``sharded`` table: every shard is walked from the same weights, which are averaged once per epoch.
 
     One job per epoch whatever the batch size (parallelised SGD, Zinkevich et al., NIPS
-    2010); with one partition it is plain sequential SGD. ``watch(epoch, theta, cost)`` may
+    2010); with one shard it is plain sequential SGD. ``watch(epoch, theta, cost)`` may
     record a trace.
     """
     theta = problem.family.start(problem.seed) if problem.theta is None else problem.theta
@@ -347,26 +388,31 @@ def _epoch(
     size = problem.family.size
 
     def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        point, speed = theta.copy(), velocity.copy()
         mask = bare.family.penalised()
-        rows = cost = 0.0
-        for batch in batches:
-            block = block_columns(batch)
+        total = np.zeros(2 + 2 * size)
+        walked, rows = -1, 0.0
+        point, speed = theta.copy(), velocity.copy()
+
+        def leave() -> None:
+            total[2:] += rows * np.concatenate([point, speed])
+            total[0] += rows
+
+        for shard, block in shard_batches(batches, how.batch_size, lambda block: bare.rows(block)[1] > 0):
+            if shard != walked:
+                leave()
+                walked, rows, point, speed = shard, 0.0, theta.copy(), velocity.copy()
             y, weight = bare.rows(block)
-            x = bare.view(block["features"])
-            used = np.nonzero(weight)[0]
-            for start in range(0, len(used), how.batch_size):
-                part = used[start : start + how.batch_size]
-                total = weight[part].sum()
-                loss, slope = bare.family.loss_and_gradient(x[part], y[part], weight[part], point)
-                slope = (slope + bare.l2 * mask * point) / total + how.decay * mask * point
-                speed = how.momentum * speed - eta * slope
-                point = point + speed
-                rows += total
-                cost += loss + 0.5 * bare.l2 * np.sum(mask * point * point) * total / max(len(part), 1)
-        return np.concatenate([[rows, cost], rows * point, rows * speed])
-
-    flat = summed(table.select("features", "y", "fold"), work, table.rdd.getNumPartitions())
+            share = weight.sum()
+            loss, slope = bare.family.loss_and_gradient(bare.view(block["features"]), y, weight, point)
+            slope = (slope + bare.l2 * mask * point) / share + how.decay * mask * point
+            speed = how.momentum * speed - eta * slope
+            point = point + speed
+            rows += share
+            total[1] += loss + 0.5 * bare.l2 * np.sum(mask * point * point) * share / max(len(y), 1)
+        leave()
+        return total
+
+    flat = summed(table, work, table.rdd.getNumPartitions())
     rows = max(flat[0], 1e-300)
     return flat[2 : 2 + size] / rows, flat[2 + size :] / rows, flat[1] / rows
 

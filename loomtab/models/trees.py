@@ -1,96 +1,67 @@
-"""Trees and ensembles on MLlib: single trees, forests, boosting and bagging loops.
-
-Boosting adds a column per round. The working frame is cut through the shared checkpoint
-folder every few rounds, so neither the plan nor recovery after a lost executor grows.
-"""
+"""Trees and ensembles: single trees, forests, boosting and bagging, all on the shared histogram learner."""
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
+from dataclasses import asdict
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtab.models.base import TableModel, class_at, class_index, sorted_classes
-from loomtab.operators.splits import bootstrap_weight
-from loomtab.session import checkpointed
-
-VECTOR = "_vector"
-
-
-def decision_tree(task: str, depth: int = 5, splitter: str = "best", seed: int = 0, **columns: Any):
-    """A single tree; a random splitter becomes a one-tree forest that sees a feature subset per node."""
-    if splitter not in ("best", "random"):
-        raise ValueError(f"splitter={splitter!r}: choose best or random")
-    if splitter == "random":
-        forest = RandomForestClassifier if task == "classify" else RandomForestRegressor
-        return forest(numTrees=1, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=1.0, seed=seed, **columns)
-    tree = DecisionTreeClassifier if task == "classify" else DecisionTreeRegressor
-    return tree(maxDepth=depth, seed=seed, **columns)
-
-
-def random_forest(task: str, trees: int = 10, depth: int = 5, subset: str = "auto", seed: int = 0, **columns: Any):
-    forest = RandomForestClassifier if task == "classify" else RandomForestRegressor
-    return forest(numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, seed=seed, **columns)
+from loomtab.models.base import TableEstimator
+from loomtab.models.shared_trees import PENALTIES, Spec, TreesModel, tree_state, tree_states
 
 
-def extra_trees(trees: int = 10, depth: int = 10, bins: int = 8, seed: int = 0, **columns: Any) -> RandomForestRegressor:
-    """Strongly randomised forest: few candidate thresholds and no bootstrap. An approximation of extra-trees."""
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=bins, bootstrap=False, featureSubsetStrategy="onethird", seed=seed, **columns)
+class Trees(TableEstimator):
+    """An estimator of one or several members of the shared learner."""
 
+    model_class = TreesModel
+    members = Param(Params._dummy(), "members", "settings of every member as JSON", TypeConverters.toString)
+    classify = Param(Params._dummy(), "classify", "whether the label is a class", TypeConverters.toBoolean)
+    combine = Param(Params._dummy(), "combine", "sum, vote or median of the members", TypeConverters.toString)
+    keyCol = Param(Params._dummy(), "keyCol", "row key for bootstrap draws; empty: the row's content", TypeConverters.toString)
 
-def gradient_boosting(loss: str = "squared", rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 0, **columns: Any) -> GBTRegressor:
-    """MLlib boosting for the two losses it has; the others are fitted by ``boosted_quantiles``."""
-    return GBTRegressor(lossType=loss, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, **columns)
+    def _defaults(self) -> None:
+        self._setDefault(members="[{}]", classify=False, combine="sum", keyCol="")
 
+    def learn(self, df: DataFrame) -> dict[str, Any]:
+        specs = [Spec(**m) for m in json.loads(self._get("members"))]
+        share = 1.0 if self._get("combine") != "sum" else 1.0 / len(specs)
+        return tree_state(
+            df, specs, self._get("featuresCol"), self._get("labelCol"), self._get("keyCol") or None, self._get("classify"), self._get("combine"),
+            [share] * len(specs),
+        )
 
-class VoteModel(TableModel):
-    """Combines the member columns of an ensemble: weighted class vote, weighted median, mean or sum."""
 
-    members = Param(Params._dummy(), "members", "member prediction columns", TypeConverters.toListString)
+def _trees(task: str, specs: Sequence[Spec], **columns: Any) -> Trees:
+    classify = task == "classify"
+    return Trees(members=json.dumps([asdict(s) for s in specs]), classify=classify, combine="vote" if classify else "sum", **columns)
 
-    def __init__(self, state: str = "{}", members: Sequence[str] = ()):
-        super().__init__(state)
-        self._set(members=list(members))
 
-    def predict(self, df: DataFrame, state: dict[str, Any]) -> DataFrame:
-        names = self._get("members")
-        values = [F.col(n) for n in names]
-        weights = state["weights"]
-        if state["how"] == "vote":
-            codes = [F.lit(float(i)) for i in range(len(state["classes"]))]
-            tallies = [
-                F.round(sum((F.when(v == c, w).otherwise(0.0) for v, w in zip(values, weights)), F.lit(0.0)), 9) for c in codes
-            ]
-            answer = class_at((F.array_position(F.array(*tallies), F.greatest(*tallies)) - 1).cast("int"), state["classes"])
-        elif state["how"] == "median":
-            answer = weighted_median(values, weights)
-        else:
-            answer = F.lit(state.get("start", 0.0)) + sum((F.lit(w) * v for v, w in zip(values, weights)), F.lit(0.0))
-        return df.withColumn(self._get("predictionCol"), answer).drop(*names, VECTOR)
+def decision_tree(task: str, depth: int = 5, splitter: str = "best", seed: int = 0, **columns: Any) -> Trees:
+    """A single tree. The random splitter draws one threshold a node and feature within the node's range and takes the best."""
+    return _trees(task, [Spec(depth=depth, splitter=splitter, seed=seed)], **columns)
 
 
-class VectorModel(TableModel):
-    """Adds the ML vector the member trees read."""
+def random_forest(task: str, trees: int = 10, depth: int = 5, subset: str = "auto", seed: int = 0, **columns: Any) -> Trees:
+    """Trees on bootstrap samples; each node tries ``subset`` features: a number, or 'auto' for all of them."""
+    tried = 0 if subset == "auto" else int(subset)
+    return _trees(task, [Spec(depth=depth, features=tried, bootstrap=i, seed=seed) for i in range(trees)], **columns)
 
-    def predict(self, df: DataFrame, state: dict[str, Any]) -> DataFrame:
-        return df.withColumn(VECTOR, array_to_vector(F.col(self._get("featuresCol")).cast("array<double>")))
 
+def extra_trees(trees: int = 10, depth: int = 10, seed: int = 0, **columns: Any) -> Trees:
+    """Extremely randomised regression trees: every row, random thresholds (Geurts, Ernst and Wehenkel, 2006)."""
+    return _trees("regress", [Spec(depth=depth, splitter="random", seed=seed * 1009 + i) for i in range(trees)], **columns)
 
-class LeafModel(TableModel):
-    """Turns a leaf number column into that leaf's fitted value."""
 
-    def predict(self, df: DataFrame, state: dict[str, Any]) -> DataFrame:
-        table = F.create_map(*[F.lit(v) for pair in state["values"] for v in (float(pair[0]), float(pair[1]))])
-        return df.withColumn(state["column"], F.coalesce(F.try_element_at(table, F.col(state["column"])), F.lit(0.0)))
+def gradient_boosting(loss: str = "squared", rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 0, **columns: Any) -> Trees:
+    """Gradient boosting (Friedman, 2001); ``absolute`` is another name of lad."""
+    return _trees("regress", [Spec("boost", depth, rounds, rate, {"absolute": "lad"}.get(loss, loss), seed=seed)], **columns)
 
 
 def weighted_median(values: Sequence[Column], weights: Sequence[float]) -> Column:
@@ -107,175 +78,63 @@ def weighted_median(values: Sequence[Column], weights: Sequence[float]) -> Colum
     return F.aggregate(pairs, start, step)["found"]
 
 
-def _assembled(features: str, stages: list[Any], vote: VoteModel) -> PipelineModel:
-    return PipelineModel([VectorModel()._set(featuresCol=features), *stages, vote])
+def _ensemble(df: DataFrame, specs: Sequence[Spec], features: str, label: str, prediction: str, how: str, **more: Any) -> PipelineModel:
+    state = tree_state(df, specs, features, label, how=how, **more)
+    return PipelineModel([TreesModel(json.dumps(state))._set(featuresCol=features, labelCol=label, predictionCol=prediction)])
 
 
 def adaboost_classifier(
-    df: DataFrame, features: str = "features", label: str = "y", rounds: int = 50, rate: float = 1.0, depth: int = 1,
-    checkpoint_every: int = 10, prediction: str = "prediction",
+    df: DataFrame, features: str = "features", label: str = "y", rounds: int = 50, rate: float = 1.0, depth: int = 1, prediction: str = "prediction"
 ) -> PipelineModel:
     """SAMME boosting of weighted trees (Zhu et al., 2009)."""
-    classes = sorted_classes(df, label)
-    work = df.select(
-        array_to_vector(F.col(features).cast("array<double>")).alias(VECTOR),
-        class_index(F.col(label), classes).cast("double").alias("_y"),
-        F.lit(1.0).alias("_w"),
-    )
-    work = checkpointed(work).persist()
-    stages, names, weights = [], [], []
-    for i in range(rounds):
-        name = f"_member_{i}"
-        tree = DecisionTreeClassifier(
-            featuresCol=VECTOR, labelCol="_y", weightCol="_w", maxDepth=depth, predictionCol=name,
-            rawPredictionCol=f"_raw_{i}", probabilityCol=f"_p_{i}",
-        ).fit(work)
-        tree = tree.setRawPredictionCol("").setProbabilityCol("")
-        scored = tree.transform(work)
-        miss = (F.col(name) != F.col("_y")).cast("double")
-        total, wrong = scored.agg(F.sum("_w"), F.sum(F.col("_w") * miss)).first()
-        error = wrong / total
-        if error >= 1.0 - 1.0 / len(classes):
-            if not stages:
-                raise ValueError("the first tree is no better than chance")
-            break
-        weight = rate * (math.log((1.0 - error) / max(error, 1e-12)) + math.log(len(classes) - 1.0))
-        stages.append(tree)
-        names.append(name)
-        weights.append(weight)
-        if error <= 0:
-            break
-        heavier = F.col("_w") / F.lit(total) * F.exp(F.lit(weight) * miss)
-        work = _advance(work, scored.select(VECTOR, "_y", heavier.alias("_w")), (i + 1) % checkpoint_every == 0)
-    work.unpersist()
-    vote = VoteModel(json.dumps({"how": "vote", "weights": weights, "classes": classes}), names)._set(predictionCol=prediction)
-    return _assembled(features, stages, vote)
+    return _ensemble(df, [Spec("samme", depth, rounds, rate)], features, label, prediction, "vote", classify=True)
 
 
-def first_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
-    """The ensemble after fewer rounds, so that one long fit serves every shorter candidate."""
-    vector, *stages, vote = model.stages
-    state = vote.fitted
-    each = len(stages) // len(state["weights"])
-    short = VoteModel(json.dumps(state | {"weights": state["weights"][:rounds]}), vote.getOrDefault("members")[:rounds])
-    return PipelineModel([vector, *stages[: rounds * each], short._set(predictionCol=vote.getOrDefault("predictionCol"))])
+def adaboost_rates(
+    df: DataFrame, rates: Sequence[float], rounds: int, features: str = "features", label: str = "y", depth: int = 1, prediction: str = "prediction"
+) -> list[PipelineModel]:
+    """One boosted ensemble for each learning rate, all trained by the same reads."""
+    specs = [Spec("samme", depth, rounds, rate) for rate in rates]
+    states = tree_states(df, specs, features, label, classify=True, how="vote")
+    return [PipelineModel([TreesModel(json.dumps(s))._set(featuresCol=features, labelCol=label, predictionCol=prediction)]) for s in states]
 
 
-def _advance(old: DataFrame, new: DataFrame, cut: bool) -> DataFrame:
-    """Replace the working frame, through the checkpoint folder every few rounds."""
-    ready = checkpointed(new).persist() if cut else new.persist()
-    ready.count()
-    old.unpersist()
-    return ready
+def first_rounds(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The ensemble after fewer rounds, so that one long fit serves every shorter candidate."""
+    (whole,) = model.stages
+    state = whole.fitted
+    short = TreesModel(json.dumps(state | {c: state[c][:rounds] for c in ("trees", "weights", "worst")}))
+    for param in ("featuresCol", "labelCol", "predictionCol"):
+        short._set(**{param: whole.getOrDefault(param)})
+    return PipelineModel([short])
 
 
 def adaboost_regressor(
-    df: DataFrame, features: str = "features", label: str = "y", loss: str = "linear", rounds: int = 50, rate: float = 1.0,
-    depth: int = 3, checkpoint_every: int = 10, prediction: str = "prediction",
+    df: DataFrame, features: str = "features", label: str = "y", loss: str = "linear", rounds: int = 50, rate: float = 1.0, depth: int = 3,
+    prediction: str = "prediction",
 ) -> PipelineModel:
     """AdaBoost.R2 (Drucker, 1997) with row weights in place of resampling; prediction is the weighted median."""
-    if loss not in ("linear", "square", "exponential"):
+    if loss not in PENALTIES:
         raise ValueError(f"loss={loss!r}: choose linear, square or exponential")
-    work = df.select(
-        array_to_vector(F.col(features).cast("array<double>")).alias(VECTOR), F.col(label).cast("double").alias("_y"), F.lit(1.0).alias("_w")
-    )
-    work = checkpointed(work).persist()
-    stages, names, weights = [], [], []
-    for i in range(rounds):
-        name = f"_member_{i}"
-        tree = DecisionTreeRegressor(featuresCol=VECTOR, labelCol="_y", weightCol="_w", maxDepth=depth, predictionCol=name).fit(work)
-        scored = tree.transform(work).withColumn("_miss", F.abs(F.col("_y") - F.col(name)))
-        worst = scored.agg(F.max("_miss")).first()[0]
-        stages.append(tree)
-        names.append(name)
-        if not worst:
-            weights.append(1.0)
-            break
-        share = F.col("_miss") / F.lit(worst)
-        penalty = {"linear": share, "square": share * share, "exponential": 1.0 - F.exp(-share)}[loss]
-        total, cost = scored.agg(F.sum("_w"), F.sum(F.col("_w") * penalty)).first()
-        mean = cost / total
-        if mean >= 0.5:
-            if len(stages) > 1:
-                stages.pop(), names.pop()
-            else:
-                weights.append(1.0)
-            break
-        beta = mean / (1.0 - mean)
-        weights.append(rate * math.log(1.0 / beta))
-        lighter = F.col("_w") / F.lit(total) * F.pow(F.lit(beta), F.lit(rate) * (1.0 - penalty))
-        work = _advance(work, scored.select(VECTOR, "_y", lighter.alias("_w")), (i + 1) % checkpoint_every == 0)
-    work.unpersist()
-    vote = VoteModel(json.dumps({"how": "median", "weights": weights}), names)._set(predictionCol=prediction)
-    return _assembled(features, stages, vote)
+    return _ensemble(df, [Spec("r2", depth, rounds, rate, loss)], features, label, prediction, "median")
 
 
 def bagging_regressor(
     df: DataFrame, key: str, features: str = "features", label: str = "y", members: int = 10, depth: int = 10, prediction: str = "prediction"
 ) -> PipelineModel:
     """Trees on Poisson bootstrap weights drawn from the row key; prediction is their mean."""
-    work = df.select(
-        key, array_to_vector(F.col(features).cast("array<double>")).alias(VECTOR), F.col(label).cast("double").alias("_y")
-    ).persist()
-    stages = []
-    for i in range(members):
-        sample = work.withColumn("_w", bootstrap_weight(key, i).cast("double")).filter("_w > 0")
-        stages.append(
-            DecisionTreeRegressor(featuresCol=VECTOR, labelCol="_y", weightCol="_w", maxDepth=depth, predictionCol=f"_member_{i}").fit(sample)
-        )
-    work.unpersist()
-    state = {"how": "sum", "weights": [1.0 / members] * members}
-    return _assembled(features, stages, VoteModel(json.dumps(state), [f"_member_{i}" for i in range(members)])._set(predictionCol=prediction))
+    specs = [Spec(depth=depth, bootstrap=i) for i in range(members)]
+    return _ensemble(df, specs, features, label, prediction, "sum", key=key, weights=[1.0 / members] * members)
 
 
 def boosted_quantiles(
     df: DataFrame, features: str = "features", label: str = "y", loss: str = "huber", quantile: float = 0.9, rounds: int = 20, depth: int = 3,
-    rate: float = 0.1, checkpoint_every: int = 10, prediction: str = "prediction",
+    rate: float = 0.1, prediction: str = "prediction",
 ) -> PipelineModel:
-    """Boosting for lad, huber and quantile losses: trees on pseudo-residuals, leaf values refitted per leaf.
-
-    Medians and quantiles come from mergeable sketches (relative rank error 1e-4), so a leaf
-    holding most of the rows costs no more than a small one.
-    """
+    """Boosting for lad, huber and quantile losses: trees on pseudo-residuals, leaf values refitted per leaf."""
     if loss not in ("lad", "huber", "quantile"):
         raise ValueError(f"loss={loss!r}: choose lad, huber or quantile")
-    at = quantile if loss == "quantile" else 0.5
-    work = df.select(
-        array_to_vector(F.col(features).cast("array<double>")).alias(VECTOR), F.col(label).cast("double").alias("_y")
-    )
-    start = work.agg(F.percentile_approx("_y", at, 10000)).first()[0]
-    work = checkpointed(work.withColumn("_f", F.lit(float(start)))).persist()
-    stages, names = [], []
-    for i in range(rounds):
-        gap = F.col("_y") - F.col("_f")
-        turn = None
-        if loss == "huber":
-            turn = float(work.agg(F.percentile_approx(F.abs(gap), quantile, 10000)).first()[0]) or 1e-12
-            slope = F.greatest(F.least(gap, F.lit(turn)), F.lit(-turn))
-        elif loss == "lad":
-            slope = F.signum(gap)
-        else:
-            slope = F.when(gap > 0, F.lit(at)).otherwise(F.lit(at - 1.0))
-        name = f"_member_{i}"
-        target = work.withColumn("_slope", slope).withColumn("_gap", gap)
-        tree = DecisionTreeRegressor(featuresCol=VECTOR, labelCol="_slope", maxDepth=depth, predictionCol=f"_raw_{i}", leafCol=name).fit(target)
-        leaves = tree.transform(target)
-        middle = leaves.groupBy(name).agg(F.percentile_approx("_gap", at, 10000).alias("m"), F.count(F.lit(1)).alias("n"))
-        values = {r[name]: float(r["m"]) for r in middle.collect()}
-        if loss == "huber":
-            known = F.create_map(*[F.lit(v) for pair in values.items() for v in pair])
-            off = F.col("_gap") - known[F.col(name)]
-            rest = leaves.groupBy(name).agg(F.avg(F.signum(off) * F.least(F.abs(off), F.lit(turn))).alias("d"))
-            values = {r[name]: values[r[name]] + float(r["d"]) for r in rest.collect()}
-        leaf = LeafModel(json.dumps({"column": name, "values": sorted(values.items())}))
-        tree = tree.setPredictionCol("")
-        stages += [tree, leaf]
-        names.append(name)
-        updated = leaf.transform(tree.transform(work)).withColumn("_f", F.col("_f") + F.lit(rate) * F.col(name))
-        work = _advance(work, updated.select(VECTOR, "_y", "_f"), (i + 1) % checkpoint_every == 0)
-    work.unpersist()
-    state = {"how": "sum", "weights": [rate] * len(names), "start": float(start)}
-    return _assembled(features, stages, VoteModel(json.dumps(state), names)._set(predictionCol=prediction))
+    return _ensemble(df, [Spec("boost", depth, rounds, rate, loss, quantile)], features, label, prediction, "sum")
 
 
 def probabilities(df: DataFrame, vector: str = "probability", output: str = "probability") -> DataFrame:

@@ -50,6 +50,37 @@ def _between_cuts(df: DataFrame, number: Column, cuts: Sequence[float], name: st
     return cutter.transform(df.withColumn("_number", number)).withColumn(name, F.col("_bucket").cast("int")).drop("_number", "_bucket")
 
 
+SAMPLED = 50  # sampled texts for each range
+
+
+def _text_cuts(df: DataFrame, name: str, count: int) -> list[str]:
+    """Texts that cut a column into ``count`` ranges, from a bounded row sample; repeats mark values held by many rows."""
+    rows = df.select(F.col(name).alias("_text")).filter("_text IS NOT NULL").orderBy(F.rand(11)).limit(SAMPLED * count).collect()
+    found = sorted((r["_text"] for r in rows), key=lambda t: t.encode("utf-8", "surrogatepass"))
+    return [found[len(found) * i // count] for i in range(1, count)] if found else []
+
+
+def _between_texts(value: Column, cuts: Sequence[str]) -> Column:
+    """Index of the interval of a text; every cut is an interval of its own and NULL comes first, as in Spark's order."""
+    if not cuts:
+        return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    known = F.array(*[F.lit(c) for c in cuts])
+    place = F.size(F.filter(known, lambda c: c < value)) + F.size(F.filter(known, lambda c: c <= value))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(place)
+
+
+def _intervals(df: DataFrame, name: str, count: int, read: DataFrame, output: str) -> tuple[DataFrame, list, int]:
+    """(``df`` with the index of its interval, values held by many rows, number of intervals) of a number, date or text column."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        found = _text_cuts(read, name, count)
+        cuts = list(dict.fromkeys(found))
+        return df.withColumn(output, _between_texts(F.col(name), cuts)), [v for v, n in Counter(found).items() if n > 1], 2 * len(cuts) + 1
+    found = _cuts(read, as_number(read, name), count)
+    hot = sorted(v for v, times in Counter(found).items() if times > 1)
+    edges = sorted({*found, *[math.nextafter(v, math.inf) for v in hot]})
+    return _between_cuts(df, as_number(df, name), edges, output), hot, len(edges) + 2
+
+
 def add_ranges(
     df: DataFrame,
     order: str,
@@ -64,26 +95,28 @@ def add_ranges(
     ``span`` says the order column is uniform on [0, span) (a key hash), so the cut points
     are known without reading the data. Otherwise a quantile sketch supplies them, taken
     from ``source`` when that frame has the same order column, is cheaper to read, and
-    ``df`` holds one row per value of it. A value that many rows share gets a range of its
-    own, which is cut again by the first tie column.
+    ``df`` holds one row per value of it. A text column is cut at texts of a bounded sample. A
+    value that many rows share gets a range of its own, which is cut again by the first tie
+    column, or by a hash of the row where no tie orders it.
     """
     count = ranges or shuffle_width(df.sparkSession)
     sign = -1 if descending else 1
     if span is not None:
         return df.withColumn("_range", sign * F.floor(F.col(order) * F.lit(count) / F.lit(span)).cast("int"))
-    read = df if source is None else source
-    found = _cuts(read, as_number(read, order), count)
-    hot = sorted(v for v, times in Counter(found).items() if times > 1)
-    edges = sorted({*found, *[math.nextafter(v, math.inf) for v in hot]})
-    ranged = _between_cuts(df, as_number(df, order), edges, "_range")
-    tie = next((t for t in ties if isinstance(df.schema[t].dataType, ORDERED)), None)
-    if not hot or source is not None or tie is None:
+    ranged, hot, _ = _intervals(df, order, count, df if source is None else source, "_range")
+    able = (*ORDERED, T.StringType)
+    tie = next((t for t in ties if isinstance(df.schema[t].dataType, able)), None)
+    if not hot or source is not None or (ties and tie is None):
         return ranged.withColumn("_range", sign * F.col("_range"))
-    crowded = as_number(df, order).isin(hot)
-    inner = sorted(set(_cuts(df.filter(crowded), as_number(df, tie), count)))
-    parted = _between_cuts(ranged, as_number(df, tie), inner, "_part")
-    part = F.when(crowded, F.col("_part")).otherwise(F.lit(0))
-    return parted.withColumn("_range", sign * F.col("_range") * F.lit(len(inner) + 1) + part).drop("_part")
+    text = isinstance(df.schema[order].dataType, T.StringType)
+    crowded = (F.col(order) if text else as_number(df, order)).isin(hot)
+    if tie is None:  # equal rows stand in any order
+        parts = count
+        parted = ranged.withColumn("_part", F.pmod(F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]), F.lit(count)).cast("int"))
+    else:
+        parted, _, parts = _intervals(ranged, tie, count, df.filter(crowded), "_part")
+    part = F.when(crowded, F.col("_part") + 1).otherwise(F.lit(0))
+    return parted.withColumn("_range", sign * F.col("_range") * F.lit(parts + 2) + part).drop("_part")
 
 
 def running_before(

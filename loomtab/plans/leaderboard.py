@@ -20,6 +20,7 @@ from loomtab.models.trees import (
     adaboost_classifier, adaboost_regressor, bagging_regressor, boosted_quantiles, decision_tree, extra_trees, gradient_boosting,
     random_forest,
 )
+from loomtab.models.shared_trees import Spec
 from loomtab.operators import metrics
 from loomtab.operators.ranking import best_model
 from loomtab.plans.grids import regression_grids
@@ -27,10 +28,15 @@ from loomtab.plans.grids import regression_grids
 
 @dataclass(frozen=True)
 class Entry:
-    """A configuration: its name and either an estimator or a function from train rows to a model."""
+    """A configuration: its name and either an estimator or a function from train rows to a model.
+
+    ``shared`` says how a search cross-validates it together with others of its kind: ("trees", Spec), ("neighbors", k) or
+    ("rbf", (gamma, components)). Without it every fold is fitted by itself.
+    """
 
     name: str
     fit: Estimator | Callable[[DataFrame], Any]
+    shared: tuple[str, Any] | None = None
 
     def train(self, df: DataFrame) -> Any:
         return self.fit.fit(df) if isinstance(self.fit, Estimator) else self.fit(df)
@@ -122,23 +128,34 @@ def regressor_entries(key: str, label: str, vector: str = "vector", rounds: int
     return entries
 
 
-def forecast_entries(key: str, label: str, vector: str = "vector", rounds: int = 100) -> list[Entry]:
+def forecast_entries(key: str, label: str, vector: str = "vector", rounds: int = 100, components: int = 256) -> list[Entry]:
     """Every candidate of the published forecast search (``regression_grids``); a kernel without a feature map fails when it is fitted."""
     ml = {"featuresCol": vector, "labelCol": label}
-    # A tree without a depth of its own grows to MLlib's limit.
-    makers: dict[str, Callable[..., Any]] = {
-        "boosting": lambda loss, max_depth: lambda df: boosted_quantiles(df, label=label, loss=loss, rounds=rounds, depth=max_depth),
-        "forest": lambda: random_forest("regress", 10, 30, **ml),
-        "tree": lambda: decision_tree("regress", 30, **ml),
-        "neighbors": lambda n_neighbors: Neighbors(keyCol=key, labelCol=label, task="regress", k=n_neighbors),
-        "svr": lambda kernel, gamma: mapped_fit(lambda df: kernel_map(df, kernel, gamma=gamma), LinearScore(labelCol=label, loss="tube")),
-    }
+
+    # A tree without a depth of its own grows to 30 levels.
+    def boosting(loss: str, max_depth: int) -> tuple:
+        return lambda df: boosted_quantiles(df, label=label, loss=loss, rounds=rounds, depth=max_depth), ("trees", [Spec("boost", max_depth, rounds, 0.1, loss)])
+
+    def forest() -> tuple:
+        return random_forest("regress", 10, 30, **ml), ("trees", [Spec(depth=30, bootstrap=i) for i in range(10)])
+
+    def tree() -> tuple:
+        return decision_tree("regress", 30, **ml), ("trees", [Spec(depth=30)])
+
+    def neighbors(n_neighbors: int) -> tuple:
+        return Neighbors(keyCol=key, labelCol=label, task="regress", k=n_neighbors), ("neighbors", n_neighbors)
+
+    def svr(kernel: str, gamma: float) -> tuple:
+        fit = mapped_fit(lambda df: kernel_map(df, kernel, gamma=gamma, components=components), LinearScore(labelCol=label, loss="tube"))
+        return fit, ("rbf", (gamma, components)) if kernel == "rbf" else None
+
+    makers: dict[str, Callable[..., tuple]] = {"boosting": boosting, "forest": forest, "tree": tree, "neighbors": neighbors, "svr": svr}
     entries = []
     for model, grids in regression_grids().items():
         for grid in grids:
             for values in product(*grid.values()):
                 params = dict(zip(grid, values))
-                entries.append(Entry(" ".join([model, *(f"{k}={v}" for k, v in params.items())]), makers[model](**params)))
+                entries.append(Entry(" ".join([model, *(f"{k}={v}" for k, v in params.items())]), *makers[model](**params)))
     return entries
 
 

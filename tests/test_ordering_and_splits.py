@@ -9,6 +9,7 @@ from loomtab.functions.hashing import SPAN, key_hash
 from loomtab.operators import columns, splits
 from loomtab.operators.aggregates import histogram
 from loomtab.operators.ordering import add_ranges, ordinal, running_before, shifted
+from loomtab.sources.sinks import write_results
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 16])
@@ -129,3 +130,27 @@ def test_histogram_keeps_every_row(spark):
     assert (got.density * (edges[1] - edges[0])).sum() == pytest.approx(1.0)
     flat = histogram(spark.range(5).select(F.lit(2.0).alias("v")), "v", 4).toPandas()
     assert flat.n.tolist() == [5, 0, 0, 0]
+
+
+def test_text_orders(spark):
+    """A text column orders rows as Spark does, nulls first, whatever repeats."""
+    names = [None, "", "b", "a", "aa", "é", "z" * 50, "Z"] + [f"common prefix {i:03d}" for i in range(200)] + ["hot"] * 300
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string").repartition(5)
+    got = [r["id"] for r in ordinal(rows, "name", ["id"]).orderBy("position").collect()]
+    assert got == [r["id"] for r in rows.orderBy("name", "id").collect()]
+    loose = ordinal(rows, "name").orderBy("position").collect()
+    assert [r["name"] for r in loose] == [r["name"] for r in rows.orderBy("name").collect()] and [r["position"] for r in loose] == list(range(1, len(names) + 1))
+
+
+def test_a_column_of_one_value_is_spread(spark):
+    rows = spark.createDataFrame([(i, "same", 1.0) for i in range(400)], "id long, name string, x double")
+    for order in ("name", "x"):
+        ranges = {r["_range"]: r["count"] for r in add_ranges(rows, order, ranges=8).groupBy("_range").count().collect()}
+        assert len(ranges) > 4 and max(ranges.values()) < 200
+
+
+def test_results_written_in_text_order(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("c", 0.5)], "model string, score double")
+    write_results(rows, str(tmp_path / "out"), order="model")
+    got = spark.read.option("header", True).csv(str(tmp_path / "out")).orderBy("index").collect()
+    assert [(r["index"], r["model"]) for r in got] == [("0", "a"), ("1", "b"), ("2", "c")]

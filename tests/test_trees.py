@@ -31,7 +31,7 @@ def sides(rows):
 def test_adaboost_improves_on_its_first_stump_and_persists(moons, tmp_path):
     train, test = sides(moons)
     one = trees.adaboost_classifier(train, label="name", rounds=1)
-    many = trees.adaboost_classifier(train, label="name", rounds=8, checkpoint_every=3)
+    many = trees.adaboost_classifier(train, label="name", rounds=8)
     scores = [accuracy(m.transform(test), "name", "prediction").first()[0] for m in (one, many)]
     assert scores[1] >= scores[0] and scores[1] > 0.8
     many.write().overwrite().save(str(tmp_path / "ada"))
@@ -71,7 +71,7 @@ def test_bagging_and_extra_trees(curve):
 @pytest.mark.parametrize("loss", ["lad", "huber"])
 def test_robust_boosting(curve, loss):
     train, test = sides(curve)
-    model = trees.boosted_quantiles(train, label="x2", loss=loss, rounds=6, rate=0.5, checkpoint_every=2)
+    model = trees.boosted_quantiles(train, label="x2", loss=loss, rounds=6, rate=0.5)
     assert regression(model.transform(test), "x2", "prediction").first()["r2"] > 0.4
 
 
