@@ -25,44 +25,72 @@ _BASE = np.uint64(0x9DDFEA08EB382D69)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def _running(values: np.ndarray, length: int) -> np.ndarray:
-    """Karp-Rabin hashes of all runs of ``length``, from prefix hashes."""
-    n = len(values) - length + 1
-    powers = np.cumprod(np.append(np.uint64(1), np.full(len(values), _BASE)), dtype=np.uint64)
-    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE)), dtype=np.uint64)
-    sums = np.append(np.uint64(0), np.cumsum(values * powers[:-1], dtype=np.uint64))
-    return (sums[length:] - sums[:n]) * inverse[:n]
+class Runs:
+    """Karp-Rabin hashes of all runs of a word sequence, of any length, from prefix hashes made once."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        powers = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE)), dtype=np.uint64)
+        self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE)), dtype=np.uint64)
+        self.sums = np.append(np.uint64(0), np.cumsum(values * powers[:-1], dtype=np.uint64))
+        self.free = np.ones(n, bool)
+
+    def hashes(self, length: int) -> np.ndarray:
+        n = len(self.free) - length + 1
+        return (self.sums[length:] - self.sums[:n]) * self.inverse[:n]
+
+    def unmarked(self, length: int) -> np.ndarray:
+        """Starts of the runs whose words are all free."""
+        marked = np.append(0, np.cumsum(~self.free))
+        return np.flatnonzero(marked[length:] == marked[: len(marked) - length])
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """(item start, document start, length) of the tiles of two word sequences, longest first.
 
-    Of matches of one length the first in the document, then in the item, is marked first.
+    The longest free match is found by bisection of its length, for a match of one length holds shorter ones. Of matches of
+    one length the first in the document, then in the item, is marked first; none of that length is then left.
     """
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
-    out = []
-    for length in range(min(len(item), len(doc)), max(1, min(min_match, len(item))) - 1, -1):
-        ours = np.lib.stride_tricks.sliding_window_view(free_item, length).all(axis=1)
-        if not ours.any():
-            continue
-        hashes, theirs = _running(item, length), _running(doc, length)
-        for d in np.flatnonzero(np.isin(theirs, hashes[ours])):
-            if not free_doc[d : d + length].all():
+    ours, theirs = Runs(item), Runs(doc)
+    bottom, top = max(1, min(min_match, len(item))), min(len(item), len(doc))
+    out: list[tuple[int, int, int]] = []
+
+    def shared(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Free starts in the item with their hashes, and the free starts in the document that match one."""
+        starts, there = ours.unmarked(length), theirs.unmarked(length)
+        mine = ours.hashes(length)[starts]
+        return starts, mine, there[np.isin(theirs.hashes(length)[there], mine)]
+
+    while top >= bottom:
+        low, high = bottom - 1, top
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(shared(middle)[2]) else (low, middle - 1)
+        if low < bottom:
+            break
+        length, (starts, mine, there) = low, shared(low)
+        order = np.argsort(mine, kind="stable")
+        starts, mine, wanted = starts[order], mine[order], theirs.hashes(length)
+        at = dict(zip(there.tolist(), np.searchsorted(mine, wanted[there]).tolist()))
+        next_free: dict[int, int] = {}  # runs of one hash are used up in order
+        for d, first in at.items():
+            if not theirs.free[d : d + length].all():
                 continue
-            for i in np.flatnonzero(hashes == theirs[d]):
-                if free_item[i : i + length].all() and (item[i : i + length] == doc[d : d + length]).all():
-                    free_item[i : i + length] = free_doc[d : d + length] = False
-                    out.append((int(i), int(d), length))
+            j = next_free.get(first, first)
+            while j < len(mine) and mine[j] == wanted[d]:
+                i = int(starts[j])
+                j += 1
+                if ours.free[i : i + length].all() and (item[i : i + length] == doc[d : d + length]).all():
+                    ours.free[i : i + length] = theirs.free[d : d + length] = False
+                    out.append((i, d, length))
                     break
+            next_free[first] = j
+        top = length - 1
     return out
 
 
-def item_seeds(items: DataFrame, min_match: int, key: str, text: str) -> DataFrame:
-    """(seed, item, mark, place, size, width, body) of every seed; items of equal words count once, under the smallest key.
-
-    ``mark`` hashes the words and tells items of one key, or of none, apart. An item shorter than ``min_match`` is one seed;
-    an item without words has none.
-    """
+def distinct_items(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(item, mark, body): items of equal words once, under the smallest key; ``mark`` hashes the words and tells items of one key, or of none, apart."""
 
     def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("item", pa.int64()), ("body", pa.string()), ("size", pa.int64())])
@@ -75,8 +103,18 @@ def item_seeds(items: DataFrame, min_match: int, key: str, text: str) -> DataFra
                 ]
                 yield record(schema, item=rows.column("item"), body=said, size=found.count)
 
+    told = items.select(F.col(key).cast("long").alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(words, "item long, body string, size long")
+    return told.filter("size > 0").groupBy("body").agg(F.min("item").alias("item")).select("item", F.xxhash64("body").alias("mark"), "body")
+
+
+def item_seeds(bodies: DataFrame, min_match: int) -> DataFrame:
+    """(seed, item, mark, place, size, width) of every seed of ``distinct_items``.
+
+    An item shorter than ``min_match`` is one seed; an item without words has none.
+    """
+
     def seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("seed", pa.int64()), ("item", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("width", pa.int64()), ("body", pa.string())])
+        schema = pa.schema([("seed", pa.int64()), ("item", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("width", pa.int64())])
         for batch in batches:
             for rows, part in slices(batch, "body"):
                 found = words_of(part, ALNUM)
@@ -89,12 +127,10 @@ def item_seeds(items: DataFrame, min_match: int, key: str, text: str) -> DataFra
                     pick = pa.array(owner)
                     yield record(
                         schema, seed=signed(value), item=rows.column("item").take(pick), mark=rows.column("mark").take(pick),
-                        place=at - found.first[owner], size=found.count[owner], width=np.full(len(at), width), body=rows.column("body").take(pick),
+                        place=at - found.first[owner], size=found.count[owner], width=np.full(len(at), width),
                     )
 
-    told = items.select(F.col(key).cast("long").alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(words, "item long, body string, size long")
-    once = told.filter("size > 0").groupBy("body").agg(F.min("item").alias("item"))
-    return once.withColumn("mark", F.xxhash64("body")).mapInArrow(seeds, "seed long, item long, mark long, place long, size long, width long, body string")
+    return bodies.mapInArrow(seeds, "seed long, item long, mark long, place long, size long, width long")
 
 
 def _seed_map(seeds: DataFrame) -> bytes:
@@ -113,7 +149,7 @@ def _seed_map(seeds: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def candidates(docs: DataFrame, seeds: DataFrame, min_match: int, cover: float, key: str, text: str) -> DataFrame:
+def candidates(docs: DataFrame, bodies: DataFrame, seeds: DataFrame, min_match: int, cover: float, key: str, text: str) -> DataFrame:
     """(__of, __check, __items): the items whose shared seeds could cover enough, by document."""
     shared = docs.sparkSession.sparkContext.broadcast(_seed_map(seeds))
 
@@ -138,8 +174,7 @@ def candidates(docs: DataFrame, seeds: DataFrame, min_match: int, cover: float,
     pairs = met.groupBy("of", "check", "item", "mark", "size", "width").agg(F.collect_set("place").alias("places"))
     words = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1))))
     able = pairs.filter(F.size(words) >= cover * F.col("size")).select("of", "check", "item", "mark")
-    bodies = seeds.select(F.col("item").alias("i"), F.col("mark").alias("m"), "body").distinct()
-    told = able.join(bodies, F.col("item").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).groupBy("of", "check").agg(F.collect_list(F.struct("item", "body")).alias("__items"))
+    told = able.join(bodies.select(F.col("item").alias("i"), F.col("mark").alias("m"), "body"), F.col("item").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).groupBy("of", "check").agg(F.collect_list(F.struct("item", "body")).alias("__items"))
     return told.select(F.col("of").alias("__of"), F.col("check").alias("__check"), "__items")
 
 
@@ -151,8 +186,9 @@ def with_tiles(docs: DataFrame, items: DataFrame, min_match: int = 4, cover: flo
     lower-cased runs of letters, digits and bytes over 0x7F. A null or empty text or item has no words and matches
     nothing; rows without an id are told apart by their text; repeated rows are judged alike; empty tables give no match.
     """
-    seeds = stored(item_seeds(items, min_match, item_key, item_text), "seeds")
-    near = candidates(docs, seeds, min_match, cover, key, text)
+    bodies = stored(distinct_items(items, item_key, item_text), "items")
+    seeds = stored(item_seeds(bodies, min_match), "seeds")
+    near = candidates(docs, bodies, seeds, min_match, cover, key, text)
 
     def tile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
