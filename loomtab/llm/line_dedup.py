@@ -4,6 +4,9 @@ Every task adds the hashes of its lines (once per document) to a once-seen filte
 once-seen one has them already. Filters of tasks merge bit by bit: twice = twice1 | twice2 | once1 & once2. A line
 whose bits are all in the merged twice-seen filter is a suspect; a line in two documents always is. Suspects are
 counted exactly by their whole key, so the size of the filters changes the volume shuffled, never the result.
+
+The filters get ``LINE_BITS`` bits for every line counted. Where that is more than ``MAX_BITS``, hash space is cut into
+parts whose lines are filtered one after the other, each by another read of the texts under filters of ``MAX_BITS``.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from loomtab.llm.common import documents, few_rows, joined, query, record, texts
+from loomtab.llm.common import documents, few_rows, joined, query, record, stored, texts
 from loomtab.llm.wordblocks import SPACED, Texts, code_points_before, lines_of, mixed, run_hashes, signed, slices, unsigned
 
-BITS = 1 << 26
+LINE_BITS = 8
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 SLICE_BITS = 1 << 16
 PROBES = 2
+HOT_PARTS = 1000
 
 
 def stripped(text: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,12 +53,24 @@ def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([mixed(hashes, 20 + i) % np.uint64(bits) for i in range(PROBES)])
 
 
-def _once_twice(batches: Iterable[pa.RecordBatch], bits: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+def filter_bits(lines: int) -> tuple[int, int]:
+    """(bits of a filter, parts of hash space) for a number of lines."""
+    wanted = max(MIN_BITS, LINE_BITS * lines)
+    parts = -(-wanted // MAX_BITS)
+    return -(-wanted // (parts * SLICE_BITS)) * SLICE_BITS, parts
+
+
+def in_part(hashes: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return mixed(hashes, 27) % np.uint64(parts) == np.uint64(part)
+
+
+def _once_twice(batches: Iterable[pa.RecordBatch], bits: int, min_chars: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Sorted bit positions of a task's two filters, cut into slices."""
     once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     for batch in batches:
         for rows, text in slices(batch):
             _, _, owner, able, _, _, hashes = line_keys(text, min_chars)
+            able &= in_part(hashes, part, parts)
             doc = mixed(unsigned(rows.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)), 8)[owner[able]]
             line = hashes[able]
             line = line[np.unique(line ^ doc, return_index=True)[1]]  # once per document
@@ -73,15 +90,15 @@ def _once_twice(batches: Iterable[pa.RecordBatch], bits: int, min_chars: int) ->
             yield record(schema, slice=[at // width], once=[places[0]], twice=[places[1]])
 
 
-def twice_seen(docs: DataFrame, bits: int = BITS, min_chars: int = 20) -> np.ndarray:
-    """The merged twice-seen filter of all lines: ``bits`` / 8 bytes, whatever the size of the input."""
+def twice_seen(docs: DataFrame, bits: int, min_chars: int = 20, part: int = 0, parts: int = 1) -> np.ndarray:
+    """The merged twice-seen filter of a part of all lines, of ``bits`` / 8 bytes."""
 
     def merge(table: pa.Table) -> pa.Table:
         seen = np.bincount(joined(table["once"], np.uint16), minlength=SLICE_BITS) > 1
         seen[joined(table["twice"], np.uint16)] = True
         return pa.table({"slice": table["slice"][:1], "twice": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
 
-    parts = docs.mapInArrow(lambda b: _once_twice(b, bits, min_chars), "slice int, once binary, twice binary")
+    parts = docs.mapInArrow(lambda b: _once_twice(b, bits, min_chars, part, parts), "slice int, once binary, twice binary")
     merged = parts.groupBy("slice").applyInArrow(merge, "slice int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in few_rows(merged):
@@ -90,41 +107,61 @@ def twice_seen(docs: DataFrame, bits: int = BITS, min_chars: int = 20) -> np.nda
     return out
 
 
-def suspects(docs: DataFrame, bits: int = BITS, min_chars: int = 20) -> DataFrame:
-    """(doc_id, line hash, key) of every line that the twice-seen filter holds, once per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_chars).tobytes())
+def suspects(docs: DataFrame, bits: int, min_chars: int = 20, part: int = 0, parts: int = 1) -> DataFrame:
+    """(doc_id, check, line hash, key) of every line of a part that its twice-seen filter holds, once per row of ``docs``.
+
+    ``check`` tells rows without an id apart by their text; it is 0 where there is an id.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_chars, part, parts).tobytes())  # at most MAX_BITS
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("key", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("line", pa.int64()), ("key", pa.string())])
         filled = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for rows, text in slices(batch):
                 _, _, owner, able, first, last, hashes = line_keys(text, min_chars)
-                pick = np.flatnonzero(able)
+                pick = np.flatnonzero(able & in_part(hashes, part, parts))
                 for i in range(PROBES):
                     place = probes(hashes[pick], bits)[i]
                     bit = filled[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)
                     pick = pick[(bit & 1) > 0]
                 pick = pick[np.unique(hashes[pick] ^ mixed(owner[pick].astype(np.uint64), 8), return_index=True)[1]]
                 keys = [text.data[a:b].tobytes().lower().decode() for a, b in zip(first[pick], last[pick])]
-                yield record(schema, doc_id=rows.column("doc_id").take(pa.array(owner[pick])), line=signed(hashes[pick]), key=keys)
+                of = pa.array(owner[pick])
+                yield record(schema, doc_id=rows.column("doc_id").take(of), check=rows.column("check").take(of), line=signed(hashes[pick]), key=keys)
+
+    return docs.withColumn("check", _check("doc_id", "text")).mapInArrow(emit, "doc_id long, check long, line long, key string")
+
 
-    return docs.mapInArrow(emit, "doc_id long, line long, key string")
+def _check(key: str, text: str):
+    return F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = BITS) -> DataFrame:
-    """(doc_id, drops): hashes of the lines a document loses, for documents that lose any."""
-    found = suspects(docs, bits, min_chars)
-    confirmed = (
-        found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    ).select(F.col("key").alias("shared_key"), "keeper")
-    lost = found.join(confirmed, F.col("key") == F.col("shared_key")).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_set("line").alias("drops"))
+def dropped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int | None = None) -> DataFrame:
+    """(doc_id, check, drops): hashes of the lines a document loses, for documents that lose any. ``bits`` fixes the filters' size."""
+    parts = 1
+    if bits is None:
+        lines = docs.agg(F.sum(1 + F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)))).first()[0] or 0
+        bits, parts = filter_bits(lines)
+    found = stored(suspects(docs, bits, min_chars, 0, parts), "suspects")
+    for part in range(1, parts):
+        found = found.unionByName(stored(suspects(docs, bits, min_chars, part, parts), "suspects"))
+    counts = found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"), F.count("*").alias("rows"))
+    confirmed = stored(counts.filter(F.col("n") >= min_docs).select(F.col("key").alias("shared_key"), "keeper", "rows"), "confirmed")
+    # At most HOT_PARTS keys can hold a thousandth of the suspects each; the others spread over the tasks of a shuffle.
+    hot = max(1000, found.count() // HOT_PARTS)
+    heavy, light = F.broadcast(confirmed.filter(F.col("rows") >= hot)), confirmed.filter(F.col("rows") < hot)
+    same = F.col("key") == F.col("shared_key")
+    met = found.join(heavy, same).unionByName(found.join(heavy, same, "left_anti").join(light, same))
+    lost = met.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("doc_id", "check").agg(F.collect_set("line").alias("drops"))
 
 
-def with_kept_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_kept_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``__kept`` (the text of the lines that stay), ``__lines`` and ``__dropped``."""
-    lost = dropped_lines(texts(docs, key, text), min_docs, min_chars, bits).select(F.col("doc_id").alias("__of"), F.col("drops").alias("__drops"))
+    lost = dropped_lines(texts(docs, key, text), min_docs, min_chars, bits).select(
+        F.col("doc_id").alias("__of"), F.col("check").alias("__check"), F.col("drops").alias("__drops")
+    )
 
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,12 +183,13 @@ def with_kept_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bit
                 names = [x for x in part.schema.names if x != "__drops"]
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *more], [*names, "__kept", "__lines", "__dropped"])
 
-    met = docs.join(lost, F.col(key).eqNullSafe(F.col("__of")), "left").drop("__of")
+    same = F.col(key).cast("long").eqNullSafe(F.col("__of")) & (_check(key, text) == F.col("__check"))
+    met = docs.join(lost, same, "left").drop("__of", "__check")
     added = [StructField("__kept", StringType()), StructField("__lines", LongType()), StructField("__dropped", LongType())]
     return met.mapInArrow(rewrite, StructType([*docs.schema.fields, *added]))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_text and its sha256.
 
     A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at least ``min_chars`` code
