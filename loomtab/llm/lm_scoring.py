@@ -6,7 +6,8 @@ deleted part of the training documents, under counts of the rest; the score uses
 
 Texts are read once into blocks of token numbers, written to the shared folder. A block asks for the counts of its own
 distinct words and word pairs: keys dealt into cells of hash space, one entry per key and block, so a frequent word costs
-an entry per block. Cells add up and answer in the order of the question. Nothing of the vocabulary is broadcast.
+an entry per block. Cells add up in 64 bits and answer in the order of the question; a block sends nothing to a cell it
+has no key of, so there are never more rows than keys. Nothing of the vocabulary is broadcast.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from loomtab.llm.common import cell_bounds, cells_for, crc_mod, documents, from_
 from loomtab.llm.wordblocks import mixed, slices, word_hashes, words_of
 
 TOKENS = 2_500_000
+CELL = 16 << 20
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 BLOCKS = "block long, deleted boolean, docs binary, parts binary, lengths binary, words binary, tokens binary"
 
@@ -103,7 +105,7 @@ class Block:
     def answered(self, answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words and of pairs from the cells' answers."""
         got = np.empty(len(self.keys), np.int64)
-        got[self.order] = from_planes(answers.sort_by("cell")[column], np.uint32)
+        got[self.order] = from_planes(answers.sort_by("cell")[column], np.int64)
         return got[: len(self.words)], got[len(self.words) :]
 
 
@@ -119,7 +121,7 @@ def ask(blocks: DataFrame, held_out: int, cells: int) -> DataFrame:
                 gone = train if row["deleted"] else np.zeros_like(train)
                 keys = block.keys[block.order]
                 bounds = cell_bounds(keys, cells)
-                for c in range(cells):
+                for c in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
                     cut = slice(bounds[c], bounds[c + 1])
                     yield record(schema, cell=[c], block=[row["block"]], keys=[keys[cut].tobytes()], train=[planes(train[cut])], gone=[planes(gone[cut])])
 
@@ -133,8 +135,9 @@ def answer(asked: DataFrame) -> DataFrame:
         keys = joined(table["keys"], np.uint64)
         train, gone = (from_planes(table[c], np.uint32).astype(np.int64) for c in ("train", "gone"))
         key, back = np.unique(keys, return_inverse=True)
-        total = np.bincount(back, weights=train, minlength=len(key)).astype(np.int64)
-        kept = total - np.bincount(back, weights=gone, minlength=len(key)).astype(np.int64)
+        total, kept = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        np.add.at(total, back, train)
+        np.add.at(kept, back, train - gone)
         one = (key & np.uint64(1)) == 0
         ends = np.cumsum([len(x) // 8 for x in table["keys"].to_pylist()])
         cuts = [slice(a, b) for a, b in zip(np.append(0, ends[:-1]), ends)]
@@ -143,8 +146,8 @@ def answer(asked: DataFrame) -> DataFrame:
         return pa.table(
             {
                 "block": table["block"], "cell": table["cell"],
-                "total": pa.array([planes(total[back[c]].astype(np.uint32)) for c in cuts], pa.binary()),
-                "kept": pa.array([planes(kept[back[c]].astype(np.uint32)) for c in cuts], pa.binary()),
+                "total": pa.array([planes(total[back[c]]) for c in cuts], pa.binary()),
+                "kept": pa.array([planes(kept[back[c]]) for c in cuts], pa.binary()),
                 "n": pa.array(once[0]), "kept_n": pa.array(once[1]), "types": pa.array(once[2]), "kept_types": pa.array(once[3]),
             }
         )
@@ -227,7 +230,7 @@ def lm_scores(docs: DataFrame, held_out: int = 2, deleted: int = 3, by: int = 7,
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), part)
     blocks = stored(read_blocks(rows, deleted), "blocks")
     bytes_ = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    cells = cells_for(docs.sparkSession, bytes_ * 4.0)
+    cells = cells_for(docs.sparkSession, bytes_ * 4.0, CELL)
     answers = stored(answer(ask(blocks, held_out, cells)), "answers")
     n, kept_n, types, kept_types = (int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("n", "kept_n", "types", "kept_types")]).first())
     weight = mixture_weights(held_out_counts(blocks, answers, kept_n), kept_types)
