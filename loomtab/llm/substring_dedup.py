@@ -253,7 +253,7 @@ def substring_dedup(docs: DataFrame, length: int = 13, bits: int = MAP_BITS, key
 
 
 _SQL = r"""
-with worded as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w from documents),
+with worded as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 windows as (
   select doc_id, i, array_to_string(w[i:i + 12], ' ') as run
   from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from worded)),
