@@ -516,7 +516,7 @@ def _in_bundles(rows: DataFrame, groups: Sequence[Sequence[Spec]], which: Sequen
     for part, numbers in homes.items():
         if part >= 0:
             targets = F.concat(targets, F.when(F.col("part") == part, F.array(*[F.lit(b) for b in numbers])).otherwise(F.array().cast("array<int>")))
-    dealt = rows.withColumn("bundle", F.explode(targets))
+    dealt = rows.withColumn("bundle", F.explode(targets)).repartition(len(bundles), "bundle")  # a count of its own: small groups, long work
     done = dealt.groupBy("bundle").applyInArrow(work, "i int, text string").toArrow()
     return dict(zip(done["i"].to_pylist(), done["text"].to_pylist()))
 

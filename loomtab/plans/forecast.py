@@ -196,7 +196,7 @@ def _tree_scores(train: DataFrame, entries: Sequence[Entry], folds: int) -> Scor
 
 def _r2(s: Mapping[str, float]) -> float | None:
     spread = s["squares"] - s["total"] ** 2 / s["n"]
-    return 1.0 - s["off_squares"] / spread if spread > 0 else None
+    return float(1.0 - s["off_squares"] / spread) if spread > 0 else None
 
 
 def _neighbor_scores(train: DataFrame, entries: Sequence[Entry], folds: int) -> Scored:
