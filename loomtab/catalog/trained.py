@@ -23,7 +23,7 @@ from loomtab.models.linear import (
 from loomtab.models.mlp import MlpClassifier, MlpRegressor, small_network, softmax_network
 from loomtab.models.neighbors import Neighbors
 from loomtab.models.shared_trees import Spec, squared_error, train, training_rows
-from loomtab.models.simple import GaussianBayes, LinearDiscriminant
+from loomtab.models.simple import GaussianBayes, LinearDiscriminant, MajorityClass, NearestCentroid
 from loomtab.models.trees import (
     adaboost_classifier, adaboost_rates, adaboost_regressor, bagging_regressor, boosted_quantiles, decision_tree, extra_trees, first_rounds,
     gradient_boosting, random_forest,
@@ -33,6 +33,7 @@ from loomtab.operators.columns import stack_frames
 from loomtab.operators.prepare import as_vector
 from loomtab.operators.splits import kfold, split, stratified_kfold
 from loomtab.plans.evaluators import TableEvaluator
+from loomtab.plans.families import Member, family_results, member_predictions, member_scores
 from loomtab.plans.forecast import horizon_table, linear_forecasts, scaled_features, searched_forecasts
 from loomtab.plans.grids import boosting_grid, grid_table, logistic_grid, margin_grid, network_grid, param_list, random_table
 from loomtab.plans.leaderboard import Entry, classifier_entries, forecast_entries, leaderboard, regressor_entries
@@ -414,6 +415,55 @@ def pipeline_steps_search(spark: SparkSession, folder: str) -> DataFrame:
     return _summary(scores).unionByName(chosen, allowMissingColumns=True)
 
 
+@query()
+def family_search(spark: SparkSession, folder: str) -> DataFrame:
+    """One search over six families: the winner of every metric with its six five-fold metrics and its hold-out accuracy."""
+    rows = _moons(spark, folder).persist()
+    members = [Member("LogisticRegression", {"C": c, "penalty": p}, shared="logistic") for c in (1.0, 10.0, 100.0) for p in ("l1", "l2")]
+    members += [Member("LinearSVC", {"C": c}, shared="margin") for c in (1.0, 100.0)]
+    members += [Member("KNeighborsClassifier", {"n_neighbors": k}, Neighbors(keyCol="key", k=k)) for k in (5, 15, 45)]
+    members += [Member("RandomForestClassifier", {"n_estimators": 10}, random_forest("classify", 10, 5, "1", keyCol="key", labelCol="y"))]
+    members += [Member("GaussianNB", {}, GaussianBayes()), Member("LinearDiscriminantAnalysis", {}, LinearDiscriminant())]
+    table = family_results(_train(rows), _test(rows), members, member_predictions(_train(rows), members, "y"), "y")
+    rows.unpersist()
+    return arrange_results(table)
+
+
+@query(
+    f"""with items as (
+  select l_quantity as x, l_extendedprice / 1000 as z, cast(l_extendedprice * (1 - l_discount) > 25000 as int) as y, cast({hsql('key', 2)} % 5 as int) as fold
+  from (select *, l_orderkey * 8 + l_linenumber as key from lineitem)),
+  learned as (
+    select f as fold, avg(x) filter (where y = 0) as x0, avg(z) filter (where y = 0) as z0, avg(x) filter (where y = 1) as x1, avg(z) filter (where y = 1) as z1,
+           count(*) filter (where y = 0) as n0, count(*) filter (where y = 1) as n1
+    from items, (select unnest(range(5))::int as f) where fold <> f group by f),
+  each as (
+    select fold, y, cast(round(sqrt((x - x1) * (x - x1) + (z - z1) * (z - z1)), 9) < round(sqrt((x - x0) * (x - x0) + (z - z0) * (z - z0)), 9) as int) as near,
+           cast(n1 > n0 as int) as most from items join learned using (fold)),
+  told as (select 0 as member, fold, y, near as p from each union all select 1, fold, y, most from each),
+  cells as (
+    select member, fold, count(*) filter (where y = 1 and p = 1)::double as tp, count(*) filter (where y = 0 and p = 1)::double as fp,
+           count(*) filter (where y = 1 and p = 0)::double as fn, count(*) filter (where y = 0 and p = 0)::double as tn from told group by 1, 2),
+  rates as (
+    select member, fold, (tp + tn) / (tp + fp + fn + tn) as accuracy, tp / (tp + fn) as recall, coalesce(tp / nullif(tp + fp, 0), 0) as precision,
+           coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) as f1, (tp / (tp + fn) + tn / (tn + fp)) / 2 as roc_auc,
+           tp / (tp + fn) * coalesce(tp / nullif(tp + fp, 0), 0) + fn / (tp + fn) * (tp + fn) / (tp + fp + fn + tn) as average_precision from cells)
+  select member, metric, round(avg(value), 9) as mean from (
+    unpivot rates on accuracy, recall, precision, f1, roc_auc, average_precision into name metric value value) group by 1, 2"""
+)
+def family_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """The six five-fold metrics of nearest centroid and majority class over all line items."""
+    price = F.col("l_extendedprice")
+    features = F.array(F.col("l_quantity"), price / 1000)
+    items = load(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), features.alias("features"),
+        (price * (1 - F.col("l_discount")) > 25000).cast("int").alias("y"),
+    )
+    members = [Member("NearestCentroid", estimator=NearestCentroid()), Member("DummyClassifier", estimator=MajorityClass())]
+    scores = member_scores(member_predictions(kfold(items, "key", 5), members, "y"))
+    return scores.select("member", "metric", F.round("mean", 9).alias("mean"))
+
+
 @query()
 def leaderboard_classifiers(spark: SparkSession, folder: str) -> DataFrame:
     """The nine compared classifiers on one data set; a broken entry is reported, not fatal."""
