@@ -131,9 +131,11 @@ def searched_forecasts(
     names = [r["horizon"] for r in ready.select("horizon").distinct().orderBy("horizon").collect()]
 
     by = ["horizon", "candidate"]
-    together: dict[str | None, list[Entry]] = {}
+    together: dict[str, list[Entry]] = {}
     for entry in entries:
-        together.setdefault(entry.shared[0] if entry.shared else None, []).append(entry)
+        if entry.shared:
+            together.setdefault(entry.shared[0], []).append(entry)
+    alone = [e for e in entries if not e.shared]
 
     def crossed(cell: tuple[str, Entry]) -> list[tuple]:
         horizon, entry = cell
@@ -158,7 +160,7 @@ def searched_forecasts(
         return tuple(df.select("horizon", F.lit(entry.name).alias("candidate"), order, "target", "prediction") for df in (test, future))
 
     with ThreadPoolExecutor(parallelism) as pool:
-        single = pool.map(crossed, [(h, e) for h in names for e in together.pop(None, [])])
+        single = pool.map(crossed, [(h, e) for h in names for e in alone])
         rows = [r for part in [*pool.map(crossed_together, list(together)), *single] for r in part]
         scores = ready.sparkSession.createDataFrame(rows, "horizon string, candidate string, fold int, r2 double, error string")
         table = fold_summary(scores, "r2", by).join(scores.groupBy(*by).agg(F.max("error").alias("error")), by)

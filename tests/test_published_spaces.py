@@ -37,8 +37,8 @@ def test_margin_and_network_searches_run_every_candidate(spark, monkeypatch):
 
 
 def test_boosting_search_fits_the_published_rounds(spark, monkeypatch):
-    _, named = call_of(monkeypatch, spark, trained.boosting_search, "adaboost_classifier")
-    assert named["rounds"] == 300 and named["rate"] == 0.001
+    args, _ = call_of(monkeypatch, spark, trained.boosting_search, "adaboost_rates")
+    assert list(args[1]) == [0.001, 1.0] and args[2] == 300
 
 
 def test_regressors_are_compared_at_fifty_rounds(spark, monkeypatch):
