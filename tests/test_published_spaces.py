@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomtab.catalog import trained
 from loomtab.models.linear import LinearScore
+from loomtab.operators.prepare import as_vector
 from loomtab.plans.forecast import horizon_table, scaled_features, searched_forecasts
 from loomtab.plans.leaderboard import Entry, forecast_entries
 from tests.conftest import SMALL
@@ -66,3 +69,21 @@ def test_a_failing_forecast_candidate_is_reported(spark):
     assert found[sigmoid.name]["mean"] is None and "sigmoid" in found[sigmoid.name]["error"]
     assert out["metrics"].first()["candidate"] == "line"
     ready.unpersist()
+
+
+def test_candidates_searched_together_score_as_alone(spark):
+    """Neighbours and rbf machines to rounding; trees nearly, for their bins come from all folds."""
+    frame = spark.range(150).select(F.col("id").alias("t"), (F.sin(F.col("id") / 5) + 0.1 * F.sin(F.col("id") * 7.3)).alias("v"))
+    ready = scaled_features(horizon_table(frame, "t", "v", {"one": 1, "two": 4}, lags=3), ["lag_1", "lag_2", "lag_3"])
+    ready = as_vector(ready).withColumn("key", F.col("position")).persist()
+    every = forecast_entries("key", "target", rounds=5, components=16)
+    chosen = [next(e for e in every if e.name.startswith(name)) for name in ("neighbors n_neighbors=4", "svr kernel=rbf", "tree", "boosting loss=lad max_depth=3")]
+    scores = []
+    for entries in (chosen, [replace(e, shared=None) for e in chosen]):
+        out = searched_forecasts(ready, "t", entries, folds=2)["search"]
+        scores.append({(r["horizon"], r["candidate"]): (r["mean"], r["error"]) for r in out.collect()})
+    together, alone = scores
+    assert together.keys() == alone.keys() and len(alone) == 8 and not any(e for _, e in [*together.values(), *alone.values()])
+    for cell, (mean, _) in alone.items():
+        assert together[cell][0] == pytest.approx(mean, abs=1e-3 if cell[1].startswith(("neigh", "svr")) else 0.3)
+    ready.unpersist()
