@@ -24,7 +24,6 @@ from loomtab.llm.common import cell_bounds, cells_for, crc_mod, documents, from_
 from loomtab.llm.wordblocks import mixed, slices, word_hashes, words_of
 
 TOKENS = 2_500_000
-CELL = 16 << 20
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 BLOCKS = "block long, deleted boolean, docs binary, parts binary, lengths binary, words binary, tokens binary"
 
@@ -75,6 +74,17 @@ def read_blocks(rows: DataFrame, deleted: int, tokens: int = TOKENS) -> DataFram
     return rows.mapInArrow(emit, BLOCKS)
 
 
+def narrowed(values: np.ndarray) -> bytes:
+    """Counts in 4 bytes each where all fit, else in 8; the first byte says which."""
+    kind = np.dtype(np.uint32 if values.max(initial=0) < 1 << 32 else np.int64)
+    return bytes([kind.itemsize]) + planes(values.astype(kind))
+
+
+def widened(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    parts = [from_planes(pa.array([x[1:]], pa.binary()), np.uint32 if x[0] == 4 else np.int64) for x in column.to_pylist()]
+    return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+
+
 class Block:
     """A block's tokens, its distinct words and word pairs, and the order in which it asks for them."""
 
@@ -105,7 +115,7 @@ class Block:
     def answered(self, answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words and of pairs from the cells' answers."""
         got = np.empty(len(self.keys), np.int64)
-        got[self.order] = from_planes(answers.sort_by("cell")[column], np.int64)
+        got[self.order] = widened(answers.sort_by("cell")[column])
         return got[: len(self.words)], got[len(self.words) :]
 
 
@@ -146,8 +156,8 @@ def answer(asked: DataFrame) -> DataFrame:
         return pa.table(
             {
                 "block": table["block"], "cell": table["cell"],
-                "total": pa.array([planes(total[back[c]]) for c in cuts], pa.binary()),
-                "kept": pa.array([planes(kept[back[c]]) for c in cuts], pa.binary()),
+                "total": pa.array([narrowed(total[back[c]]) for c in cuts], pa.binary()),
+                "kept": pa.array([narrowed(kept[back[c]]) for c in cuts], pa.binary()),
                 "n": pa.array(once[0]), "kept_n": pa.array(once[1]), "types": pa.array(once[2]), "kept_types": pa.array(once[3]),
             }
         )
@@ -230,7 +240,7 @@ def lm_scores(docs: DataFrame, held_out: int = 2, deleted: int = 3, by: int = 7,
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), part)
     blocks = stored(read_blocks(rows, deleted), "blocks")
     bytes_ = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    cells = cells_for(docs.sparkSession, bytes_ * 4.0, CELL)
+    cells = cells_for(docs.sparkSession, bytes_ * 4.0)
     answers = stored(answer(ask(blocks, held_out, cells)), "answers")
     n, kept_n, types, kept_types = (int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("n", "kept_n", "types", "kept_types")]).first())
     weight = mixture_weights(held_out_counts(blocks, answers, kept_n), kept_types)

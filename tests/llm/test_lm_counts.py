@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from loomtab.llm import lm_scoring as lm
-from loomtab.llm.common import from_planes, planes
+from loomtab.llm.common import planes
 from tests.llm.test_operators import ROWS, SCHEMA, lower
 
 
@@ -22,8 +22,8 @@ def test_totals_do_not_wrap(spark):
     rows = [(0, b, key.tobytes(), planes(many), planes(many if b else np.zeros(2, np.uint32))) for b in (0, 1)]
     got = lm.answer(spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in r) for r in rows], schema)).collect()
     for row in got:
-        assert from_planes(pa.array([bytes(row["total"])]), np.int64).tolist() == [6_000_000_000, 10]
-        assert from_planes(pa.array([bytes(row["kept"])]), np.int64).tolist() == [3_000_000_000, 5]
+        assert lm.widened(pa.array([bytes(row["total"])])).tolist() == [6_000_000_000, 10]
+        assert lm.widened(pa.array([bytes(row["kept"])])).tolist() == [3_000_000_000, 5]
     assert sum(r["n"] for r in got) == 6_000_000_000 and sum(r["types"] for r in got) == 1
 
 
@@ -69,7 +69,6 @@ def plain_scores(rows):
 
 @pytest.mark.parametrize("tokens", [lm.TOKENS, 300])
 def test_score_equals_the_definition(spark, monkeypatch, tokens):
-    monkeypatch.setattr(lm, "CELL", 1 << 10)
     read = lm.read_blocks
     monkeypatch.setattr(lm, "read_blocks", lambda rows, deleted: read(rows, deleted, tokens))
     got = lm.lm_scores(spark.createDataFrame(ROWS, SCHEMA).repartition(3)).select("doc_id", "score").collect()
