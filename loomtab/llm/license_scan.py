@@ -214,17 +214,17 @@ worded as (
 runs as (
   select doc_id, k, i - 1 as spot, array_to_string(w[i:i + k - 1], ' ') as gram
   from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from worded, (values ({SHORT}), ({LONG})) as ks(k))),
-votes as (select doc_id, template, label, base, k, size, spot as at, spot - place as diagonal, place from runs join grams using (k, gram)),
+votes as (select doc_id, template, label, base, k, size, spot, spot - place as diagonal, place from runs join grams using (k, gram)),
 diagonals as (select distinct doc_id, template, base, diagonal from votes),
 fresh as (
   select *, case when diagonal - lag(diagonal) over o > case when base then 0 else {gap} end is not false then 1 else 0 end as f
   from diagonals window o as (partition by doc_id, template order by diagonal)),
 spans as (select *, sum(f) over (partition by doc_id, template order by diagonal) as span from fresh),
 rising as (
-  select v.*, span, max(place) over (partition by v.doc_id, v.template, span order by at, place rows between unbounded preceding and 1 preceding) as before
+  select v.*, span, max(place) over (partition by v.doc_id, v.template, span order by spot, place rows between unbounded preceding and 1 preceding) as before
   from votes v join spans s on v.doc_id = s.doc_id and v.template = s.template and v.diagonal = s.diagonal),
 merged as (
-  select doc_id, template, label, base, k, size, span, list(place) as places, min(at) as start, max(at + k) as stop
+  select doc_id, template, label, base, k, size, span, list(place) as places, min(spot) as start, max(spot + k) as stop
   from rising where before is null or place > before group by all),
 covered as (
   select *, list_distinct(flatten(list_transform(places, lambda p: range(p, p + k)))) as words from merged),
