@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomtab.llm.common import cell_bounds, cells_for, crc_mod, documents, from_planes, joined, planes, query, record, stored
 from loomtab.llm.wordblocks import mixed, slices, word_hashes, words_of
 
-TOKENS = 2_500_000
+TOKENS = 2_000_000
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 BLOCKS = "block long, deleted boolean, docs binary, parts binary, lengths binary, words binary, tokens binary"
 
