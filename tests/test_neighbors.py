@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtab.models.neighbors import Neighbors
 from loomtab.operators.neighbors import Side, knn_join, radius_join, radius_mean, vote, votes_at
+from loomtab.operators.pairs import Points, Rule, Search, pair_distances
 from loomtab.plans.search import knn_grid
 
 BLOCKS = {"strategy": "blocks", "pivots": 6, "block_rows": 17, "chunk_rows": 23}
@@ -163,3 +164,56 @@ def test_votes_without_neighbours_are_null(spark):
     empty = spark.createDataFrame([(1, [])], "id long, neighbors array<struct<distance:double,id:bigint,value:double>>")
     got = empty.select(votes_at(F.col("neighbors"), [1, 3], [0.0, 1.0]), vote(F.col("neighbors"), 3, [0.0, 1.0])).first()
     assert got[0] == [None, None] and got[1] is None
+
+
+@pytest.mark.parametrize("strategy", ["cells", "all"])
+@pytest.mark.parametrize("metric,k,exclude", [("euclidean", 4, "id"), ("euclidean", 40, "fold"), ("manhattan", 7, "fold"), ("chebyshev", 5, "id"), ("minkowski", 5, "id")])
+def test_routes_agree_on_wide_and_shifted_vectors(spark, strategy, metric, k, exclude):
+    x = np.random.default_rng(8).normal(size=(700, 24)).astype("float32").astype(float) + 1000.0  # far from the origin; bounds rule out little
+    x[:60] = x[0]
+    side = Side(frame(spark, x), "id", "v", "y", exclude)
+    got = answers(knn_join(side, side, k, metric, 3.0, strategy=strategy, pivots=8, block_rows=50, chunk_rows=60))
+    assert got == brute(x, k, metric, 3.0, fold=None if exclude == "id" else np.arange(700) % 4)
+
+
+def test_screened_search_equals_plain_loop_in_many_steps():
+    rng = np.random.default_rng(9)
+    for metric, scale, p in [("euclidean", 1e6, 2.0), ("manhattan", 1e-9, 2.0), ("chebyshev", 1.0, 2.0), ("minkowski", 1e15, 3.0), ("minkowski", 1.0, 2.5)]:
+        x = np.round(rng.normal(size=(900, 5)), 1) * scale
+        x[3, 1] = np.nan  # a row with a hole is near nothing
+        search = Search(x[:300], np.arange(300), Rule(metric, p, k=6, excluding=True))
+        order = rng.permutation(900)
+        for part in np.array_split(order, 7):
+            search.see(Points(part, x[part], part.astype(float), part))
+        far = np.round(pair_distances(x[:300], x, metric, p), 9)
+        far[np.arange(300), np.arange(300)] = np.nan
+        for q in range(300):
+            want = sorted((d, t) for t, d in enumerate(far[q]) if np.isfinite(d))[:6]
+            held = np.isfinite(search.far[q])
+            assert list(zip(np.round(search.far[q][held], 9), search.ids[q][held])) == want
+
+
+def test_unruly_bounds_send_no_query_to_many_blocks(spark):
+    x = np.random.default_rng(10).normal(size=(1200, 32))
+    side = Side(frame(spark, x), "id", "v", "y", "id")
+    plan = knn_join(side, side, 30, strategy="blocks", pivots=16, block_rows=20)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan and "Window" not in plan  # every query would have gone to every one of 60 blocks
+    low = Side(frame(spark, np.random.default_rng(11).normal(size=(20000, 2))), "id", "v", "y", "id")
+    plan = knn_join(low, low, 3, strategy="blocks", pivots=256, block_rows=2000)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" in plan
+
+
+def test_radius_sums_of_wide_vectors_on_every_route(spark):
+    x = np.random.default_rng(12).normal(size=(500, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:40] = x[0]
+    side = Side(frame(spark, x), "id", "v", "y", "id")
+    far, y = np.round(gaps(x, x, "euclidean", 2), 9), np.arange(500) % 3
+    near = (far <= 1.3) & ~np.eye(500, dtype=bool)
+    for strategy in ("broadcast", "cells", "all"):
+        got = {r["id"]: r for r in radius_join(side, side, 1.3, strategy=strategy, pivots=6, block_rows=90).collect()}
+        for q in range(500):
+            apart = near[q] & (far[q] > 0)
+            assert (got[q]["n"], got[q]["n_zero"]) == (near[q].sum(), (near[q] & ~apart).sum())
+            assert got[q]["total"] == pytest.approx(y[near[q]].sum())
+            assert got[q]["weighted_total"] == pytest.approx((y[apart] / far[q][apart]).sum(), rel=1e-9)
