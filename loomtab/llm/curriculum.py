@@ -130,15 +130,40 @@ def curriculum(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     """
     rows = scheduled(docs, key=key, source=source, text=text, **options)
     copies = rows.select("doc_id", "check", "source", "size", F.posexplode("positions").alias("copy", "position"))
+    copies = copies.withColumn("copy", F.col("copy") + 1)
     said = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).cast("string").alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("check") == F.col("hash"))
-    out = copies.join(said.dropDuplicates(["id", "hash"]), same).select("doc_id", "source", "text", (F.col("copy") + 1).alias("copy"), "size", "position")
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
+    out = copies.join(said.dropDuplicates(["id", "hash"]), same).drop("id", "hash")
+    return in_order(out).select("doc_id", "source", "text", "copy", "size", "position")
+
+
+def in_order(copies: DataFrame) -> DataFrame:
+    """Copies range-sorted by position; equal ones by id, copy and text."""
+    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy", "check")
+
+
+def with_places(rows: DataFrame) -> DataFrame:
+    """Rows of ``scheduled`` with what the range-sorted order holds of each: taken, copies, first_position and first_place, from 1.
+
+    The sorted order is written, without texts, with every row's number in its partition; the totals of the partitions
+    before it, one row per partition, make that its place in the whole.
+    """
+    kept = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scheduled")
+    copies = kept.select("row", "doc_id", "check", "size", F.posexplode("positions").alias("copy", "position"))
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    order = stored(in_order(copies).select("row", "size", "position", F.spark_partition_id().alias("part"), number.alias("at")), "order")
+    parts = order.groupBy("part").agg(F.count(F.lit(1)).alias("held"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select("part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
+    found = order.join(F.broadcast(offsets), "part").groupBy("row").agg(
+        F.sum("size").alias("taken"), F.count(F.lit(1)).alias("copies"), F.min("position").alias("first_position"),
+        F.min(F.col("offset") + F.col("at") + 1).alias("first_place"),
+    )
+    return kept.drop("taken", "copies", "positions").join(found, "row", "left").drop("row").na.fill(0, ["taken", "copies"])
 
 
 @query()
 def op9_mixing(spark, folder):
-    """The mix of all documents: what each gives, and where its first copy stands."""
-    rows = scheduled(documents(spark, folder))
-    first = F.when(F.size("positions") > 0, F.element_at("positions", 1)).alias("first_position")
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", first)
+    """The mix of all documents: what the range-sorted order takes of each, and where its first copy stands in it."""
+    rows = with_places(scheduled(documents(spark, folder)))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position", "first_place")
