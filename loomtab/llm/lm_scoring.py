@@ -45,7 +45,8 @@ def read_blocks(rows: DataFrame, deleted: int, tokens: int = TOKENS) -> DataFram
         def flush(which: bool) -> pa.RecordBatch:
             docs, parts, lengths, hashes = (np.concatenate(x) for x in zip(*held[which]))
             held[which].clear()
-            words, number = np.unique(hashes, return_inverse=True)
+            words, number = numbered(hashes)
+            del hashes
             blob = press(planes(number.astype(np.uint32)))
             return record(
                 schema, block=[uuid.uuid4().int >> 66], deleted=[which], docs=[docs.tobytes()], parts=[parts.tobytes()],
@@ -85,6 +86,19 @@ def widened(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and every value's place among them, as ``np.unique`` has them but with half of its memory."""
+    order = np.argsort(values, kind="stable")
+    fresh = np.ones(len(values), bool)
+    ran = values[order]
+    fresh[1:] = ran[1:] != ran[:-1]
+    distinct = ran[fresh]
+    del ran
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return distinct, place
+
+
 class Block:
     """A block's tokens, its distinct words and word pairs, and the order in which it asks for them."""
 
@@ -93,17 +107,22 @@ class Block:
 
         self.docs, self.parts, self.lengths = (np.frombuffer(row[n], np.int64) for n in ("docs", "parts", "lengths"))
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = from_planes(pa.array([zstandard.ZstdDecompressor().decompress(row["tokens"])]), np.uint32).astype(np.int64)
+        self.tokens = from_planes(pa.array([zstandard.ZstdDecompressor().decompress(row["tokens"])]), np.uint32).view(np.int32)
         end = np.searchsorted(self.words, END)
-        self.context = np.concatenate([[end], self.tokens[:-1]])  # a document begins after an end
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.context[starts] = end
-        self.pairs, self.pair = np.unique(self.context * len(self.words) + self.tokens, return_inverse=True)
-        one = mixed(self.words, 30) & ~np.uint64(1)
-        u, v = self.words[self.pairs // len(self.words)], self.words[self.pairs % len(self.words)]
-        two = mixed(mixed(u, 31) + mixed(v, 32), 33) | np.uint64(1)
-        self.keys = np.concatenate([one, two])
-        self.order = np.argsort(self.keys, kind="stable")
+        both = np.empty(len(self.tokens), np.int64)
+        both[1:] = self.tokens[:-1]  # a document begins after an end
+        both[np.cumsum(self.lengths) - self.lengths] = end
+        both *= len(self.words)
+        both += self.tokens
+        self.pairs, self.pair = numbered(both)
+        del both
+        self.keys = np.empty(len(self.words) + len(self.pairs), np.uint64)
+        self.keys[: len(self.words)] = mixed(self.words, 30) & ~np.uint64(1)
+        for start in range(0, len(self.pairs), 1 << 16):  # in pieces: the hashing makes several arrays of its input's size
+            u, v = np.divmod(self.pairs[start : start + (1 << 16)], len(self.words))
+            two = mixed(mixed(self.words[u], 31) + mixed(self.words[v], 32), 33) | np.uint64(1)
+            self.keys[len(self.words) + start : len(self.words) + start + len(two)] = two
+        self.order = np.argsort(self.keys, kind="stable").astype(np.int32)
 
     def counts(self, mask: np.ndarray) -> np.ndarray:
         """How often each key stands in the documents of the mask, in key order."""
@@ -125,7 +144,8 @@ def ask(blocks: DataFrame, held_out: int, cells: int) -> DataFrame:
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("cell", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("gone", pa.binary())])
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 block = Block(row)
                 train = block.counts((block.parts != held_out) & (block.parts >= 0))
                 gone = train if row["deleted"] else np.zeros_like(train)
