@@ -137,3 +137,32 @@ def test_constant_and_missing_labels(spark):
     assert {r["prediction"] for r in decision_tree("regress").fit(rows).transform(rows).collect()} == {3.0}
     with pytest.raises(ValueError, match="no row"):
         decision_tree("regress").fit(rows.filter("y is null"))
+
+
+def test_condensed_rows_do_not_grow_with_the_table(spark):
+    """Ten copies of the rows, with keys of their own, leave the same cells; counts, class shares and means are those of the rows."""
+    b, edges, x = block()
+    at = [(k * len(x) + i, [float(v) for v in np.round(x[i][:2], 1)], float(b.y[i]), int(b.y[i] > 0.9)) for i in range(len(x)) for k in range(10)]
+    table = spark.createDataFrame(at, "key long, features array<double>, y double, c int")
+    for label, classes in (("y", 0), ("c", 2)):
+        rows = st.training_rows(table, "features", F.col(label), F.col("key"))
+        cells = st.condensed(rows, [st.Spec(classes=classes)], edges[:2])
+        assert cells.count() == st.condensed(rows.filter(f"key < {len(x)}"), [st.Spec(classes=classes)], edges[:2]).count() <= 121 * max(classes, 1)
+        n, total = cells.selectExpr("sum(n)", "sum(n * y)").first()
+        assert n == len(at) and total == pytest.approx(sum(r[2 if label == "y" else 3] for r in at))
+
+
+def test_boosted_states_by_cell_need_no_written_rows(spark, monkeypatch):
+    """Where rows share bins, passes follow the trees by cell, write nothing forward and find the trees of local training."""
+    b, _, x = block()
+    at = [(i, [float(v) for v in np.round(x[i][:2], 1)], float(b.y[i])) for i in range(len(x))] * 4
+    rows = st.training_rows(spark.createDataFrame(at, "key long, features array<double>, y double").repartition(2), "features", F.col("y"), F.col("key"))
+    specs = [st.Spec("boost", 2, 6, 0.3, "lad"), st.Spec("boost", 2, 5, 0.3, "huber")]
+    near, edges = st.train(rows, specs)
+    monkeypatch.setattr(st, "FORWARD", 2)
+    monkeypatch.setattr(st, "FEW_CELLS", 0.5)
+    monkeypatch.setattr(st, "_forward", None)
+    far, _ = st.train(rows, specs, edges, local_rows=0)
+    for a, c in zip(near, far):
+        assert [t.feature for t in a.trees] == [t.feature for t in c.trees] and [t.cut for t in a.trees] == [t.cut for t in c.trees]
+        assert np.allclose([v for t in a.trees for v in t.value], [v for t in c.trees for v in t.value], atol=1e-6)
