@@ -8,7 +8,7 @@ answers are those of the plain double loop. Tiles fit a core's cache and nothing
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -16,7 +16,9 @@ from loomtab.functions.distance import check_metric
 
 DIGITS = 9  # distances are compared after rounding, so summation order cannot reorder neighbours
 STRIP, WIDE = 256, 2048  # queries and points of a tile
-PENDING = 65_536  # pairs measured together, and pairs that wait to be merged
+STAGE, SPARSE = 8, 16  # coordinates between two looks at a tile, and one pair in how many is few
+PENDING = 65_536  # pairs measured together
+MERGED = 1024  # pairs that wait to be merged, times k: the sooner a bound tightens, the fewer pairs follow
 EPS, EPS64 = 2.0**-23, 2.0**-52
 
 # Columns of the partial sums a block returns for a radius query.
@@ -121,23 +123,57 @@ class _Strip:
         if self.rule.metric == "euclidean":
             return self.left @ self.right
         out = np.zeros((self.left.shape[1], self.right.shape[1]), self.kind)
-        gap = np.empty_like(out)
-        whole = self.power == int(self.power) and self.power <= 4
+        gap, spare = np.empty_like(out), np.empty_like(out)
         for x, y in zip(self.left, self.right):
             np.subtract(x[:, None], y[None, :], out=gap)
-            np.abs(gap, out=gap)
-            if self.rule.metric == "chebyshev":
-                np.maximum(out, gap, out=out)
-                continue
-            if self.power > 1 and whole:
-                once = gap.copy()
-                for _ in range(int(self.power) - 1):
-                    gap *= once
-            elif self.power > 1:
-                gap **= self.kind(self.power)
-            out += gap
+            self._take(out, gap, spare)
         return out
 
+    def _take(self, out: np.ndarray, gap: np.ndarray, spare: np.ndarray) -> None:
+        """One coordinate's differences join the screened numbers, which never fall by it."""
+        np.abs(gap, out=gap)
+        if self.rule.metric == "chebyshev":
+            np.maximum(out, gap, out=out)
+            return
+        if self.power > 1 and self.power == int(self.power) and self.power <= 4:
+            np.copyto(spare, gap)
+            for _ in range(int(self.power) - 1):
+                gap *= spare
+        elif self.power > 1:
+            gap **= self.kind(self.power)
+        out += gap
+
+    def under(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the tile whose screened number is at most their query's level.
+
+        Numbers only grow coordinate by coordinate, so once few pairs are left the rest is done for these alone.
+        """
+        width = self.right.shape[1]
+        if self.rule.metric == "euclidean":
+            return np.divmod(np.flatnonzero((self.screen() <= level[:, None]).ravel()), width)
+        out = np.zeros((self.left.shape[1], width), self.kind)
+        gap, spare = np.empty_like(out), np.empty_like(out)
+        for at, (x, y) in enumerate(zip(self.left, self.right), 1):
+            np.subtract(x[:, None], y[None, :], out=gap)
+            self._take(out, gap, spare)
+            if at % STAGE == 0 or at == self.width:
+                alive = out <= level[:, None]
+                if at == self.width or np.count_nonzero(alive) * SPARSE <= out.size:
+                    break
+        left = np.flatnonzero(alive.ravel())
+        return self.among(level, *np.divmod(left, width), out.ravel()[left], at)
+
+    def among(self, level: np.ndarray, rows: np.ndarray, cols: np.ndarray, found: np.ndarray | None = None, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Of some pairs, screened up to coordinate ``at``, those whose whole number is at most their query's level."""
+        found = np.zeros(len(rows), self.kind) if found is None else found
+        for start in range(at, self.width, STAGE):
+            for x, y in zip(self.left[start : start + STAGE], self.right[start : start + STAGE]):
+                some = x[rows] - y[cols]
+                self._take(found, some, np.empty_like(some))
+            keep = found <= level[rows]
+            rows, cols, found = rows[keep], cols[keep], found[keep]
+        return rows, cols
+
     def level(self, bound: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             top = (bound + self.shift) ** self.power * (1.0 + self.share) + self.slip - self.own
@@ -189,9 +225,12 @@ class Search:
 
     def _nearest(self, strip: _Strip, part: np.ndarray, points: Points) -> None:
         bound = np.round(self.far[part, -1], DIGITS)
+        # A p-norm over 2 is at least the euclidean norm over width^(1/2 - 1/p), and that one is a matrix product.
+        wide = strip.width ** (0.5 - 1.0 / self.rule.p) if self.rule.metric == "minkowski" and self.rule.p > 2 else 0.0
+        plain = _Strip(strip.queries, strip.exclude, self.centre, replace(self.rule, metric="euclidean")) if wide else None
         waiting: list[tuple[np.ndarray, ...]] = []
         for tile in points.tiles():
-            rows, cols = self._near(strip, tile, bound)
+            rows, cols = self._near(strip, tile, bound, plain, wide)
             for start in range(0, len(rows), PENDING):
                 r, c = rows[start : start + PENDING], cols[start : start + PENDING]
                 far = strip.distances(tile, r, c)
@@ -200,18 +239,25 @@ class Search:
                     keep &= strip.exclude[r] != tile.exclude[c]
                 r, c = r[keep], c[keep]
                 waiting.append((r, far[keep], tile.ids[c], tile.values[c]))
-                if sum(len(w[0]) for w in waiting) > max(PENDING, 4 * STRIP * self.rule.k):
+                if sum(len(w[0]) for w in waiting) > MERGED * self.rule.k:
                     bound = np.minimum(bound, self._merge(part, waiting))
                     waiting = []
         self._merge(part, waiting)
 
-    def _near(self, strip: _Strip, tile: Points, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _near(self, strip: _Strip, tile: Points, bound: np.ndarray, plain: _Strip | None, wide: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a tile that may lie within ``bound``, which is tightened where it is still infinite."""
         if not strip.against(tile.vectors):
             return np.divmod(np.arange(len(bound) * len(tile.ids)), len(tile.ids))
-        screened = strip.screen()
         open_rows = np.flatnonzero(np.isinf(bound))
-        if len(open_rows) and len(tile.ids) >= self.rule.k:
+        if not len(open_rows):
+            most = bound * (1.0 + 1e-12) + 10.0**-DIGITS
+            if plain is not None and plain.against(tile.vectors):
+                rows, cols = plain.under(plain.level(wide * most * (1.0 + 1e-12)))
+                if len(rows) * SPARSE <= len(bound) * len(tile.ids):
+                    return strip.among(strip.level(most), rows, cols)
+            return strip.under(strip.level(most))
+        screened = strip.screen()
+        if len(tile.ids) >= self.rule.k:
             first = screened[open_rows]
             if self.rule.excluding:
                 first[strip.exclude[open_rows, None] == tile.exclude[None, :]] = np.inf

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtab.models.neighbors import Neighbors
+from loomtab.operators import pairs
 from loomtab.operators.neighbors import Side, knn_join, radius_join, radius_mean, vote, votes_at
 from loomtab.operators.pairs import Points, Rule, Search, pair_distances
 from loomtab.plans.search import knn_grid
@@ -217,3 +218,22 @@ def test_radius_sums_of_wide_vectors_on_every_route(spark):
             assert (got[q]["n"], got[q]["n_zero"]) == (near[q].sum(), (near[q] & ~apart).sum())
             assert got[q]["total"] == pytest.approx(y[near[q]].sum())
             assert got[q]["weighted_total"] == pytest.approx((y[apart] / far[q][apart]).sum(), rel=1e-9)
+
+
+@pytest.mark.parametrize(("metric", "p"), [("chebyshev", 2.0), ("minkowski", 3.0), ("minkowski", 2.5), ("minkowski", 1.5), ("manhattan", 2.0)])
+def test_few_tiles_are_screened_by_every_coordinate(monkeypatch, metric, p):
+    """Once bounds are known, pairs are ruled out early, or by the euclidean norm; the answers are those of the plain loop."""
+    draw = np.random.default_rng(5)
+    spots = draw.normal(size=(12, 24)) * 4
+    points = spots[draw.integers(0, 12, 9000)] + 0.3 * draw.normal(size=(9000, 24))
+    queries, ids = points[:300], np.arange(9000)
+    calls = []
+    whole = pairs._Strip.screen
+    monkeypatch.setattr(pairs._Strip, "screen", lambda self: calls.append(self.rule.metric) or whole(self))
+    search = pairs.Search(queries, ids[:300], pairs.Rule(metric, p, k=4, excluding=True))
+    search.see(pairs.Points(ids, points, ids.astype(float), ids))
+    far = pairs.pair_distances(queries, points, metric, p)
+    far[np.arange(300), np.arange(300)] = np.inf
+    want = np.lexsort((np.broadcast_to(ids, far.shape), np.round(far, 9)), axis=1)[:, :4]
+    assert (search.ids == want).all() and np.array_equal(search.far, np.take_along_axis(far, want, 1))
+    assert calls.count(metric) == 2  # the first tile of both strips
