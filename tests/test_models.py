@@ -5,6 +5,8 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from loomtab.models import shared_pass
+from loomtab.models.arrays import summed, summed_apart
 from loomtab.models.linear import (
     LinearScore, Perceptron, fourier_features, kernel_map, linear_svc, logistic_regression, polynomial_features, reduced_pipeline, weighted,
 )
@@ -322,3 +324,37 @@ def test_weights_do_not_depend_on_the_layout(spark, make):
     fitted = [make().named(labelCol="y").fit(rows.repartition(n)).fitted for n in (1, 4, 40)]
     weights = [np.ravel(f["rows"] if "rows" in f else f["theta"]) for f in fitted]
     assert np.array_equal(weights[0], weights[1]) and np.array_equal(weights[0], weights[2])
+
+
+def test_rows_of_one_partition_are_dealt_to_all_cores(spark):
+    rows = spark.range(5000).selectExpr("array(id * 1.0D, 1.0D) as features", "id % 2 * 1.0D as y").coalesce(1)
+    table = training_table(rows, "features", "y")
+    cores = spark.sparkContext.defaultParallelism
+    assert table.rdd.getNumPartitions() == cores and table.count() == 5000
+    assert table.selectExpr("sum(features[0])").first()[0] == sum(range(5000))
+    table.unpersist()
+
+
+@pytest.mark.parametrize("width", [5, 1000])
+def test_sums_added_apart_are_those_of_the_driver(spark, width):
+    df = spark.range(0, 90, 1, 7)
+
+    def work(batches):
+        return sum((b["id"].to_numpy().sum() * np.arange(1.0, width + 1) for b in batches), np.zeros(width))
+
+    assert np.array_equal(summed_apart(df, work), summed(df, work, 7))
+    assert np.array_equal(summed_apart(df, work), sum(range(90)) * np.arange(1.0, width + 1))
+
+
+def test_long_sums_leave_one_vector_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(v.tolist(), float(v[0] > 0.2)) for v in rng.normal(size=(200, 3))], "features array<double>, y double").repartition(3)
+    table = training_table(rows, "features", "y")
+    found = []
+    for numbers in (1 << 20, 0):
+        monkeypatch.setattr(shared_pass, "NUMBERS", numbers)
+        problem = Problem(Linear(3, "logistic"), l2=1.0)
+        fit_all(table, [problem])
+        found.append(problem.theta)
+    assert found[0] == pytest.approx(found[1], rel=1e-9)
+    table.unpersist()
