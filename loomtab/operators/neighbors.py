@@ -113,11 +113,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table
 
 def _against_broadcast(queries: DataFrame, train: DataFrame, rule: Rule) -> DataFrame:
     table = train.toArrow()
-    arrays = (table["id"].to_numpy(), _matrix(table["vec"]), table["value"].to_numpy(), _groups(table["exclude"]))
+    arrays = (table["id"].to_numpy(), _narrow(_matrix(table["vec"])), table["value"].to_numpy(), _groups(table["exclude"]))
     shared = queries.sparkSession.sparkContext.broadcast(arrays)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = finite(Points(*shared.value))
+        ids, vectors, values, groups = shared.value
+        points = finite(Points(ids, vectors.astype(float), values, groups))
         for held in _gathered(batches, HELD):
             yield from _searched(held["id"].to_numpy(), _matrix(held["vec"]), _groups(held["exclude"]), points, rule)
 
@@ -254,15 +255,19 @@ def _routed(queries: DataFrame, cells: Cells, rule: Rule, count_only: bool) -> D
 PACKS = "chunk int, kind int, n int, ids binary, vecs binary, narrow boolean, vals binary, groups binary, grouped binary"
 
 
-def _packed(batch: pa.RecordBatch, chunk: int, kind: int) -> dict:
-    """Rows as bytes: values that single precision holds exactly take four bytes each."""
-    vectors, groups = _matrix(batch["vec"]), batch["exclude"]
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """In single precision, if that holds every value exactly: four bytes each, not eight."""
     with np.errstate(over="ignore"):
         single = vectors.astype(np.float32)
-    narrow = bool((single == vectors).all())
+    return single if (single == vectors).all() else vectors
+
+
+def _packed(batch: pa.RecordBatch, chunk: int, kind: int) -> dict:
+    """Rows as bytes."""
+    vectors, groups = _narrow(_matrix(batch["vec"])), batch["exclude"]
     return {
         "chunk": chunk, "kind": kind, "n": batch.num_rows, "ids": batch["id"].to_numpy().tobytes(),
-        "vecs": (single if narrow else vectors).tobytes(), "narrow": narrow,
+        "vecs": vectors.tobytes(), "narrow": vectors.dtype == np.float32,
         "vals": batch["value"].to_numpy(zero_copy_only=False).astype(float).tobytes(),
         "groups": groups.fill_null(0).to_numpy().tobytes(), "grouped": groups.is_valid().to_numpy(zero_copy_only=False).tobytes(),
     }
