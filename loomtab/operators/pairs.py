@@ -2,8 +2,9 @@
 
 Distances are screened first, in single precision and (euclidean) by one matrix product, under a level that allows
 for every rounding error; pairs under it are measured again in double precision, coordinate by coordinate, so the
-answers are those of the plain double loop. Tiles fit a core's cache and nothing grows with the number of points.
-Vectors of few coordinates are put into boxes first (``boxes``), so that most tiles are never looked at.
+answers are those of the plain double loop. Manhattan distances, which no matrix product gives, are bounded from below
+first, by coordinates rounded to a few levels: bytes, of which one instruction takes many. Tiles fit a core's cache and
+nothing grows with the number of points. Vectors of few coordinates are put into boxes first (``boxes``), so that most tiles are never looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ STAGE, SPARSE = 8, 16  # coordinates between two looks at a tile, and one pair i
 PENDING = 65_536  # pairs measured together
 MERGED = 1024  # pairs that wait to be merged, times k: the sooner a bound tightens, the fewer pairs follow
 EPS, EPS64 = 2.0**-23, 2.0**-52
+LEVELS, SUMMED = 31, 8  # levels of a coordinate less one, and coordinates whose levels add up within a byte
+SPREAD = 2.5  # deviations from the mean at which the levels end
+LONGEST = 1000  # coordinates whose levels add up within two bytes, twice
+GATHERED, GATHER_SHARE = 4096, 4  # pairs whose vectors are laid side by side, and one pair in how many is too many for it
 
 # Columns of the partial sums a block returns for a radius query.
 SUMS = ["n", "total", "n_zero", "zero_total", "weight", "weighted_total"]
@@ -54,6 +59,7 @@ class Points:
     values: np.ndarray
     exclude: np.ndarray
     boxes: Boxes | None = None
+    sides: dict | None = None  # what strips about one centre need of a tile, worked out once
 
     def boxed(self) -> Boxes | None:
         """The boxes of the points, where these have few coordinates."""
@@ -67,7 +73,7 @@ class Points:
     def tiles(self) -> Iterator[Points]:
         for start in range(0, len(self.ids), WIDE):
             part = slice(start, start + WIDE)
-            yield Points(self.ids[part], self.vectors[part], self.values[part], self.exclude[part])
+            yield Points(self.ids[part], self.vectors[part], self.values[part], self.exclude[part], sides={})
 
 
 def pair_distances(queries: np.ndarray, points: np.ndarray, metric: str, p: float) -> np.ndarray:
@@ -116,15 +122,32 @@ class _Strip:
 
     def against(self, points: np.ndarray) -> bool:
         """Takes a tile of points; False if its numbers do not fit the screen."""
+        return self._against(self._side(points))
+
+    def faces(self, tile: Points) -> bool:
+        """``against`` the vectors of a tile, which may hold its side already."""
+        if tile.sides is None:
+            return self.against(tile.vectors)
+        kind = self.rule.metric, self.kind
+        if kind not in tile.sides:
+            tile.sides[kind] = self._side(tile.vectors)
+        return self._against(tile.sides[kind])
+
+    def _side(self, points: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """The tile as the screen reads it, its reach from the centre and its largest number."""
         moved = points - self.centre
         if self.rule.metric == "euclidean":
             norms = np.einsum("ij,ij->i", moved, moved)
-            self.right = np.vstack([moved.T, norms[None, :]]).astype(self.kind)
+            right = np.vstack([moved.T, norms[None, :]]).astype(self.kind)
             far = np.sqrt(norms.max(initial=0.0))
         else:
-            self.right = np.ascontiguousarray(moved.T).astype(self.kind)
+            right = np.ascontiguousarray(moved.T).astype(self.kind)
             far = np.abs(moved).max(initial=0.0)
-        raw = np.abs(points).max(initial=0.0) + np.abs(self.queries).max(initial=0.0) + 2.0 * np.abs(self.centre).max(initial=0.0)
+        return right, far, np.abs(points).max(initial=0.0)
+
+    def _against(self, side: tuple[np.ndarray, float, float]) -> bool:
+        self.right, far, largest = side
+        raw = largest + np.abs(self.queries).max(initial=0.0) + 2.0 * np.abs(self.centre).max(initial=0.0)
         both = self.size + far
         # What casting and moving can change of a distance, and what rounding can change of the sums.
         self.shift = 2.0 * self.width * (self.eps * both + EPS64 * raw)
@@ -206,6 +229,44 @@ class _Strip:
         return _measured(sides, (len(rows),), self.rule.metric, self.rule.p)
 
 
+class _Levels:
+    """Lower bounds on manhattan distances, from coordinates rounded to levels.
+
+    Levels end at ``SPREAD`` deviations: cutting coordinates off there brings no two of them further apart. Of the sum over
+    |a - b| = 2 max(a, b) - a - b only the larger levels depend on the pair, and rounding changes no more than each side's residue.
+    """
+
+    def __init__(self, vectors: np.ndarray):
+        middle = vectors.mean(0)
+        half = SPREAD * np.sqrt(np.square(vectors - middle).mean())
+        self.low, self.step = middle - half, 2.0 * half / LEVELS
+        self.usable = bool(vectors.shape[1] <= LONGEST and np.isfinite(half) and self.step > 1e-9 * (np.abs(middle).max() + half))
+
+    def of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(levels, one line a coordinate; half of every vector's levels and residues)."""
+        place = np.clip((vectors - self.low) / self.step, 0.0, LEVELS)
+        level = np.rint(place)
+        half = (level.sum(1) + np.abs(place - level).sum(1)) / 2.0 + 1e-6 * vectors.shape[1]
+        return np.ascontiguousarray(level.astype(np.uint8).T), half
+
+    def under(self, queries: tuple[np.ndarray, np.ndarray], tile: tuple[np.ndarray, np.ndarray], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may be within ``most`` of their query."""
+        (left, half), (right, other) = queries, tile
+        width, taken = right.shape[1], np.ceil(other)
+        top = int(taken.max())
+        sums = np.empty((left.shape[1], width), np.uint16)
+        sums[:] = (top - taken).astype(np.uint16)
+        some, larger = np.empty(sums.shape, np.uint8), np.empty(sums.shape, np.uint8)
+        for start in range(0, len(left), SUMMED):
+            np.maximum(left[start][:, None], right[start][None, :], out=some)
+            for x, y in zip(left[start + 1 : start + SUMMED], right[start + 1 : start + SUMMED]):
+                np.maximum(x[:, None], y[None, :], out=larger)
+                some += larger
+            sums += some
+        level = np.clip(np.floor(most / (2.0 * self.step) + half) + top, 0, 65535).astype(np.uint16)
+        return np.divmod(np.flatnonzero((sums <= level[:, None]).ravel()), width)
+
+
 def finite(points: Points) -> Points:
     keep = np.isfinite(points.vectors).all(1)
     return points if keep.all() else Points(points.ids[keep], points.vectors[keep], points.values[keep], points.exclude[keep])
@@ -224,6 +285,9 @@ class Search:
             self.values = np.zeros((len(queries), rule.k))
         else:
             self.sums = np.zeros((len(queries), len(SUMS)))
+        self.tiles: list[Points] = []
+        levels = _Levels(queries[self.whole]) if rule.k and rule.metric == "manhattan" and self.whole.any() else None
+        self.levels = levels if levels is not None and levels.usable else None
 
     def see(self, points: Points) -> None:
         points = finite(points)
@@ -231,6 +295,7 @@ class Search:
             return
         with np.errstate(invalid="ignore", over="ignore"):
             boxes = points.boxed()
+            self.tiles = [] if boxes else list(points.tiles())
             rows = self._by_place() if boxes else np.flatnonzero(self.whole)
             size = BOXED if boxes else STRIP
             for start in range(0, len(rows), size):
@@ -250,7 +315,7 @@ class Search:
     def _tiles(self, strip: _Strip, points: Points) -> Iterator[tuple[float, Points]]:
         """Tiles with the least distance any of their points, or of those after them, may have."""
         if points.boxes is None:
-            yield from ((0.0, tile) for tile in points.tiles())
+            yield from ((0.0, tile) for tile in self.tiles)
         else:
             for gap, rows in points.boxes.nearest(strip.queries, self.rule.metric, self.rule.p, WIDE):
                 yield gap, points.take(rows)
@@ -260,11 +325,13 @@ class Search:
         # A p-norm over 2 is at least the euclidean norm over width^(1/2 - 1/p), and that one is a matrix product.
         wide = strip.width ** (0.5 - 1.0 / self.rule.p) if self.rule.metric == "minkowski" and self.rule.p > 2 else 0.0
         plain = _Strip(strip.queries, strip.exclude, strip.centre, replace(self.rule, metric="euclidean"), strip.kind is np.float64) if wide else None
+        own = self.levels.of(strip.queries) if self.levels and points.boxes is None else None
         waiting: list[tuple[np.ndarray, ...]] = []
         for gap, tile in self._tiles(strip, points):
             if gap * (1.0 - 1e-12) > bound.max() + 10.0**-DIGITS:
                 break
-            rows, cols = self._near(strip, tile, bound, plain, wide)
+            found = self._near_levels(strip, own, tile, bound) if own else None
+            rows, cols = self._near(strip, tile, bound, plain, wide) if found is None else found
             for start in range(0, len(rows), PENDING):
                 r, c = rows[start : start + PENDING], cols[start : start + PENDING]
                 far = strip.distances(tile, r, c)
@@ -278,14 +345,33 @@ class Search:
                     waiting = []
         self._merge(part, waiting)
 
+    def _near_levels(self, strip: _Strip, own: tuple[np.ndarray, np.ndarray], tile: Points, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs of a tile that may lie within ``bound`` by their levels and then by their vectors; None where too many are left."""
+        if np.isinf(bound).any():
+            return None
+        if "levels" not in tile.sides:
+            tile.sides["levels"] = self.levels.of(tile.vectors)
+        most = bound * (1.0 + 1e-12) + 10.0**-DIGITS
+        rows, cols = self.levels.under(own, tile.sides["levels"], most)
+        if len(rows) * GATHER_SHARE > len(bound) * len(tile.ids):
+            return None
+        keep = np.empty(len(rows), bool)
+        for start in range(0, len(rows), GATHERED):
+            part = slice(start, start + GATHERED)
+            gap = strip.queries[rows[part]]
+            gap -= tile.vectors[cols[part]]
+            whole = np.abs(gap, out=gap).sum(1)
+            keep[part] = whole <= most[rows[part]] + 1e-12 * whole
+        return rows[keep], cols[keep]
+
     def _near(self, strip: _Strip, tile: Points, bound: np.ndarray, plain: _Strip | None, wide: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a tile that may lie within ``bound``, which is tightened where it is still infinite."""
-        if not strip.against(tile.vectors):
+        if not strip.faces(tile):
             return np.divmod(np.arange(len(bound) * len(tile.ids)), len(tile.ids))
         open_rows = np.flatnonzero(np.isinf(bound))
         if not len(open_rows):
             most = bound * (1.0 + 1e-12) + 10.0**-DIGITS
-            if plain is not None and plain.against(tile.vectors):
+            if plain is not None and plain.faces(tile):
                 rows, cols = plain.under(plain.level(wide * most * (1.0 + 1e-12)))
                 if len(rows) * SPARSE <= len(bound) * len(tile.ids):
                     return strip.among(strip.level(most), rows, cols)
@@ -324,8 +410,8 @@ class Search:
     def _within(self, strip: _Strip, part: np.ndarray, points: Points) -> None:
         if points.boxes is not None and (rest := self._boxes_within(strip, part, points)) is not None:
             points = rest
-        for tile in points.tiles():
-            if self.rule.metric == "euclidean" and strip.against(tile.vectors):
+        for tile in self.tiles if points.boxes is None and self.tiles else points.tiles():
+            if self.rule.metric == "euclidean" and strip.faces(tile):
                 self._within_screened(strip, part, tile)
             else:
                 self._within_exact(strip, part, tile)
