@@ -269,6 +269,9 @@ class _HorizonProblem(Problem):
     def bare(self) -> _HorizonProblem:
         return _HorizonProblem(self.family, self.l2, self.first, self.last, self.holdout, self.span)
 
+    def sight(self):
+        return *super().sight(), self.first, self.last
+
     def rows(self, block):
         y, weight = super().rows(block)
         weight[(block["fold"] < self.first) | (block["fold"] > self.last)] = 0.0
